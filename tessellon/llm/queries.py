@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellon.llm import bpe, chat_format, contamination, metric_search, pii, quality, secret_scan
+from tessellon.llm import bpe, chat_format, contamination, jaccard_join, metric_search, pii, quality, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": contamination.op5_decontaminate,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality": quality.op9_quality,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
