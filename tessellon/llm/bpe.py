@@ -351,5 +351,23 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def append_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and ids (binary, little-endian uint32) appended; columns of those names are replaced."""
+    path = path or default_path()
+    docs = docs.drop("n_tokens", "ids")
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                ids = machine.encode_batch(b.column(at).fill_null("").to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)

@@ -269,6 +269,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with personal data in the text replaced by its kind, and chars_col set to the new length; same columns."""
+    trees, thresholds = train()
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found = spans_of([t or "" for t in texts], trees, thresholds)
+            columns = list(b.columns)
+            columns[at] = pa.array([t if t is None or not base and not added else redact(t, base + added) for t, (base, added) in zip(texts, found, strict=True)], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.char_length(text_col).cast(docs.schema[chars_col].dataType)))
+    return out.select(*docs.columns)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")

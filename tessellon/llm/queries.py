@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellon.llm import bpe, chat_format, contamination, jaccard_join, metric_search, pii, quality, secret_scan
+import corpus_pipeline
+from tessellon.llm import bpe, chat_format, contamination, jaccard_join, metric_search, pii, quality, secret_scan, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_bpe": bpe.op4_bpe,
         "op5_decontaminate": contamination.op5_decontaminate,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_quality": quality.op9_quality,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
