@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessellon.functions import sphere
 
 XYZ = "struct<x:double,y:double,z:double>"
-MODULES = ["healpix", "s2", "isea4r", "igeo7"]
+MODULES = ["healpix", "s2", "isea4r", "igeo7", "h3", "a5", "dem"]
 _SYSTEMS: dict[str, Callable[[], GridSystem]] = {}
 
 

@@ -36,7 +36,9 @@ _DIGIT = {kind: np.array([next((d for d in range(1, 7) if (PAIRS[DIRECTION[d]] @
 
 
 def _degrees(u):
-    return np.mod(np.degrees(np.angle(u)), 360.0)
+    """In [0, 360); what rounding has put just below 360 is 0."""
+    out = np.mod(np.degrees(np.angle(u)), 360.0)
+    return np.where(out > 360.0 - 1e-6, 0.0, out)
 
 
 class IGeo7(GridSystem):
@@ -202,7 +204,6 @@ class IGeo7(GridSystem):
     @staticmethod
     def _lift(base, u):
         angle = _degrees(u)
-        angle = np.where(angle > 359.999999, 0.0, angle)
         k = np.minimum(4, np.floor(angle / 60).astype(np.int64))
         v = u * np.conj(UNITS[k])
         second = v.imag / np.sin(np.pi / 3)
@@ -278,7 +279,8 @@ class IGeo7(GridSystem):
         rx = np.where(off & (ex >= ey) & (ex >= es), -ry - rs, rx)
         rs = np.where(off & ~((ex >= ey) & (ex >= es)) & (ey < es), -rx - ry, rs)
         la, lb = rx.astype(np.int64), -rs.astype(np.int64)
-        want = (la + lb * OMEGA) / SCALE[level]
+        # A lattice place past the seam is a cell on its other side.
+        want = self._wrapped((la + lb * OMEGA) / SCALE[level], u)
         out = np.full(len(u), -1, np.int64)
         for turn in (0, 1, 5, 2, 4):
             ca, cb = la, lb
@@ -297,11 +299,7 @@ class IGeo7(GridSystem):
             if ok.any():
                 rows = np.flatnonzero(ok)
                 back = self._place(z[rows], level)[1]
-                # A lattice place past the seam is the same cell on its other side.
                 same = np.abs(back - want[rows]) < 1e-6 / abs(SCALE[level])
-                over = _degrees(want[rows]) >= 300 - 1e-9
-                for t in (UNITS[1], np.conj(UNITS[1])):
-                    same |= over & (np.abs(back - want[rows] * t) < 1e-6 / abs(SCALE[level]))
                 out[rows[same]] = z[rows[same]]
         return out
 
