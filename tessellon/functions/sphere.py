@@ -186,6 +186,7 @@ def arcs_cross(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np
 def clip_area(subject: np.ndarray, window: np.ndarray) -> float:
     """Area of a ring inside a convex ring, both counter-clockwise: the ring is cut by each edge's half-space in turn."""
     ring = subject
+    window = window[np.linalg.norm(np.roll(window, -1, axis=0) - window, axis=1) > 1e-14]
     for a, b in zip(window, np.roll(window, -1, axis=0), strict=True):
         if not len(ring):
             return 0.0
@@ -202,3 +203,22 @@ def clip_area(subject: np.ndarray, window: np.ndarray) -> float:
                 out.append(m if m @ (p + q) > 0 else -m)
         ring = np.array(out)
     return max(0.0, float(ring_area(ring[None])[0])) if len(ring) >= 3 else 0.0
+
+
+def is_convex(ring: np.ndarray, tol: float = 1e-12) -> bool:
+    """Whether a counter-clockwise ring turns left everywhere (repeated vertices aside)."""
+    keep = np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1) > 1e-14
+    r = ring[keep]
+    normal = np.cross(r, np.roll(r, -1, axis=0))
+    return bool(((normal * np.roll(r, -2, axis=0)).sum(1) >= -tol * np.linalg.norm(normal, axis=1)).all())
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area common to two rings: the other is clipped by a convex one, else by b's triangles about its mean direction
+    (exact where that sees all of b's border)."""
+    if is_convex(b):
+        return clip_area(a, b)
+    if is_convex(a):
+        return clip_area(b, a)
+    c = b.mean(0) / np.linalg.norm(b.mean(0))
+    return sum(clip_area(a, np.stack([c, p, q])) for p, q in zip(b, np.roll(b, -1, axis=0), strict=True))

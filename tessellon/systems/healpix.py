@@ -7,10 +7,10 @@ coordinate j = r - s - t (poles at 0 and 4), equatorial between 1 and 3 and pola
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.functions import bits, sphere
+from tessellon.functions import bits, sphere, staged
 from tessellon.systems.base import register_system
 from tessellon.systems.quadface import QuadFaceSystem
 
@@ -113,58 +113,122 @@ class HEALPix(QuadFaceSystem):
 
     # --- Columns in closed form --------------------------------------------------------------------------------
 
+    @staticmethod
+    def _locate_stages(level: int) -> list[staged.Stage]:
+        """From lon (degrees) and z to ix, iy, face: no trigonometry, a square root in the caps only."""
+        n, size = 1 << level, F.lit(float(1 << level))
+
+        def polar(v):
+            return {"t": F.pmod(v["lon"], F.lit(360.0)) / 90.0, "za": F.abs(v["z"])}
+
+        def lines(v):
+            sector = F.least(F.lit(3).cast("long"), F.floor(v["t"]))
+            return {
+                "up": F.floor(size * (F.lit(0.5) + v["t"]) - size * (v["z"] * 0.75)),
+                "down": F.floor(size * (F.lit(0.5) + v["t"]) + size * (v["z"] * 0.75)),
+                "sector": sector,
+                "part": v["t"] - sector,
+                "w": size * F.sqrt(F.greatest(F.lit(0.0), F.lit(3.0) * (F.lit(1.0) - v["za"]))),
+            }
+
+        def sides(v):
+            last = F.lit(n - 1).cast("long")
+            return {"right": F.least(F.floor(v["part"] * v["w"]), last), "left": F.least(F.floor((F.lit(1.0) - v["part"]) * v["w"]), last), "fu": F.shiftright(v["up"], level), "fd": F.shiftright(v["down"], level)}
+
+        def lattice(v):
+            belt, north = v["za"] <= 2 / 3, v["z"] >= 0
+            face_b = F.when(v["fu"] == v["fd"], v["fu"].bitwiseAND(F.lit(3)).bitwiseOR(F.lit(4))).when(v["fu"] < v["fd"], v["fu"]).otherwise(v["fd"] + 8)
+            return {
+                "ix": F.when(belt, v["down"].bitwiseAND(F.lit(n - 1))).when(north, F.lit(n - 1) - v["left"]).otherwise(v["right"]),
+                "iy": F.when(belt, F.lit(n - 1) - v["up"].bitwiseAND(F.lit(n - 1))).when(north, F.lit(n - 1) - v["right"]).otherwise(v["left"]),
+                "face": F.when(belt, face_b).when(north, v["sector"]).otherwise(v["sector"] + 8),
+            }
+
+        return [polar, lines, sides, lattice]
+
+    @staticmethod
+    def _position(level: int):
+        return lambda v: F.shiftleft(v["face"], 2 * level) + bits.morton_encode_col(v["ix"], v["iy"]) + 1
+
     def cellat_z_col(self, lon: Column, z: Column, level: int) -> Column:
-        """Position at longitude in degrees and z = sin(latitude): no trigonometry, a square root in the caps only."""
-        n = 1 << level
-        quarter = F.pmod(lon, F.lit(360.0)) / 90.0
-        za = F.abs(z)
-        up = F.floor(F.lit(float(n)) * (F.lit(0.5) + quarter) - F.lit(float(n)) * (z * 0.75))
-        down = F.floor(F.lit(float(n)) * (F.lit(0.5) + quarter) + F.lit(float(n)) * (z * 0.75))
-        fu, fd = F.shiftright(up, level), F.shiftright(down, level)
-        face_b = F.when(fu == fd, fu.bitwiseAND(F.lit(3)).bitwiseOR(F.lit(4))).when(fu < fd, fu).otherwise(fd + 8)
-        sector = F.least(F.lit(3).cast("long"), F.floor(quarter))
-        part = quarter - sector
-        width = F.lit(float(n)) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - za))
-        right = F.least(F.floor(part * width), F.lit(n - 1).cast("long"))
-        left = F.least(F.floor((F.lit(1.0) - part) * width), F.lit(n - 1).cast("long"))
-        belt, north = za <= 2 / 3, z >= 0
-        ix = F.when(belt, down.bitwiseAND(F.lit(n - 1))).when(north, F.lit(n - 1) - left).otherwise(right)
-        iy = F.when(belt, F.lit(n - 1) - up.bitwiseAND(F.lit(n - 1))).when(north, F.lit(n - 1) - right).otherwise(left)
-        face = F.when(belt, face_b).when(north, sector).otherwise(sector + 8)
-        return F.shiftleft(face, 2 * level).bitwiseOR(bits.morton_encode_col(ix, iy)) + 1
+        """Position at longitude in degrees and z = sin(latitude)."""
+        return staged.column({"lon": lon, "z": z}, self._locate_stages(level), self._position(level))
+
+    def with_cell_z(self, df: DataFrame, lon: str, z: str, level: int, out: str = "pos") -> DataFrame:
+        """df with the position column; stays in generated code."""
+        return staged.frame(df, {"lon": F.col(lon), "z": F.col(z)}, self._locate_stages(level), {out: self._position(level)})
 
     def cellat_col(self, lon: Column, lat: Column, level: int) -> Column:
         return self.cellat_z_col(lon.cast("double"), F.sin(F.radians(lat)), level)
 
-    def decode_col(self, pos: Column, level: int) -> tuple[Column, Column, Column]:
-        ids = pos - 1
-        ix, iy = bits.morton_decode_col(ids.bitwiseAND(F.lit((1 << (2 * level)) - 1)))
-        return ix, iy, F.shiftright(ids, 2 * level)
+    @staticmethod
+    def _ring_stages(level: int) -> list[staged.Stage]:
+        n = 1 << level
+
+        def split(v):
+            ids = v["pos"] - 1
+            return {"code": ids.bitwiseAND(F.lit((1 << (2 * level)) - 1)), "face": F.shiftright(ids, 2 * level)}
+
+        def lattice(v):
+            ix, iy = bits.morton_decode_col(v["code"])
+            return {"ix": ix, "iy": iy, "base": F.shiftright(v["face"], 2) + 2}
+
+        def ring(v):
+            return {"column": F.when(v["base"] == 3, (v["face"] - 4) * 2).otherwise((v["face"] % 4) * 2 + 1), "ring": v["base"] * n - v["ix"] - v["iy"] - 1}
+
+        def width(v):
+            return {"width": F.least(F.lit(n).cast("long"), v["ring"], F.lit(4 * n) - v["ring"])}
+
+        return [split, lattice, ring, width]
 
-    def _ring_parts(self, pos: Column, level: int):
+    @staticmethod
+    def _centre_stages(level: int) -> list[staged.Stage]:
         n = 1 << level
-        ix, iy, face = self.decode_col(pos, level)
-        base = F.shiftright(face, 2) + 2
-        column = F.when(base == 3, (face - 4) * 2).otherwise((face % 4) * 2 + 1)
-        ring = base * n - ix - iy - 1
-        return n, ix, iy, column, ring, F.least(F.lit(n).cast("long"), ring, F.lit(4 * n) - ring)
+
+        def height(v):
+            w = v["width"] / F.lit(float(n))
+            z = F.when(v["ring"] < n, 1 - w * w / 3).when(v["ring"] > 3 * n, w * w / 3 - 1).otherwise((F.lit(2.0 * n) - v["ring"]) * 2 / (3.0 * n))
+            return {"w": w, "z": z, "phi": F.lit(np.pi / 4) * (v["column"] * v["width"] + v["ix"] - v["iy"]) / v["width"]}
+
+        def sine(v):
+            return {"sine": F.when((v["ring"] < n) | (v["ring"] > 3 * n), v["w"] * F.sqrt((1 + F.abs(v["z"])) / 3)).otherwise(F.sqrt(1 - v["z"] * v["z"]))}
+
+        return [*HEALPix._ring_stages(level), height, sine]
+
+    @staticmethod
+    def _centre(v) -> Column:
+        return F.struct((v["sine"] * F.cos(v["phi"])).alias("x"), (v["sine"] * F.sin(v["phi"])).alias("y"), v["z"].alias("z"))
 
     def centroid_col(self, pos: Column, level: int) -> Column:
-        n, ix, iy, column, ring, width = self._ring_parts(pos, level)
-        w = width / F.lit(float(n))
-        z = F.when(ring < n, 1 - w * w / 3).when(ring > 3 * n, w * w / 3 - 1).otherwise((F.lit(2.0 * n) - ring) * 2 / (3.0 * n))
-        sine = F.when((ring < n) | (ring > 3 * n), w * F.sqrt((1 + F.abs(z)) / 3)).otherwise(F.sqrt(1 - z * z))
-        phi = F.lit(np.pi / 4) * (column * width + ix - iy) / width
-        return F.struct((sine * F.cos(phi)).alias("x"), (sine * F.sin(phi)).alias("y"), z.alias("z"))
+        return staged.column({"pos": pos}, self._centre_stages(level), self._centre)
+
+    def with_centroid(self, df: DataFrame, level: int, out: str = "centre", pos: str = "pos") -> DataFrame:
+        return staged.frame(df, {"pos": F.col(pos)}, self._centre_stages(level), {out: self._centre})
+
+    @staticmethod
+    def _ring_number(level: int):
+        n = 1 << level
+
+        def place(v):
+            shift = F.when((v["ring"] < n) | (v["ring"] > 3 * n), F.lit(0)).otherwise((v["ring"] - n) % 2)
+            return {"k": F.floor((v["column"] * v["width"] + v["ix"] - v["iy"] + 1 + shift) / 2)}
+
+        def number(v):
+            k, ring, width = v["k"], v["ring"], v["width"]
+            k = F.when(k > 4 * width, k - 4 * width).when(k < 1, k + 4 * width).otherwise(k)
+            first = F.when(ring <= n, 2 * ring * (ring - 1)).when(ring <= 3 * n, F.lit(2 * n * (n - 1)) + (ring - n) * (4 * n)).otherwise(F.lit(12 * n * n) - 2 * (4 * n - ring) * (4 * n - ring + 1))
+            return first + k
+
+        return place, number
 
     def ring_id_col(self, pos: Column, level: int) -> Column:
         """1-based RING id of a position."""
-        n, ix, iy, column, ring, width = self._ring_parts(pos, level)
-        shift = F.when((ring < n) | (ring > 3 * n), F.lit(0)).otherwise((ring - n) % 2)
-        at = F.floor((column * width + ix - iy + 1 + shift) / 2)
-        at = F.when(at > 4 * width, at - 4 * width).when(at < 1, at + 4 * width).otherwise(at)
-        first = F.when(ring <= n, 2 * ring * (ring - 1)).when(ring <= 3 * n, F.lit(2 * n * (n - 1)) + (ring - n) * (4 * n)).otherwise(F.lit(12 * n * n) - 2 * (4 * n - ring) * (4 * n - ring + 1))
-        return first + at
+        place, number = self._ring_number(level)
+        return staged.column({"pos": pos}, [*self._ring_stages(level), place], number)
+
+    def with_ring_id(self, df: DataFrame, level: int, out: str = "ring_id", pos: str = "pos") -> DataFrame:
+        place, number = self._ring_number(level)
+        return staged.frame(df, {"pos": F.col(pos)}, [*self._ring_stages(level), place], {out: number})
 
     def lonlat_of(self, pos, level: int):
         return sphere.lonlat(self.centroid(pos, level))
