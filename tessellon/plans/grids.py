@@ -189,9 +189,9 @@ def terrain_slope(spark, sf_dir):
     return stencils.slope_mdg(f, HEALPIX, 2).join(stencils.plane_fit(f, HEALPIX, 2).withColumnRenamed("slope", "fitted"), "pos").join(stencils.curvature(f, HEALPIX, 2), "pos")
 
 
-@query("lowest_neighbor", f"SELECT f.pos, p.nbr::BIGINT AS downhill FROM {FIELD} f LEFT JOIN (SELECT f.pos, arg_min(n.nbr, (g.z, n.nbr)) AS nbr FROM {FIELD} f JOIN {NBR} n USING (pos) JOIN {FIELD} g ON g.pos = n.nbr WHERE g.z < f.z GROUP BY f.pos) p USING (pos)")
+@query("lowest_neighbor", f"SELECT f.pos, coalesce(p.nbr, 0)::BIGINT AS downhill FROM {FIELD} f LEFT JOIN (SELECT f.pos, arg_min(n.nbr, (g.z, n.nbr)) AS nbr FROM {FIELD} f JOIN {NBR} n USING (pos) JOIN {FIELD} g ON g.pos = n.nbr WHERE g.z < f.z GROUP BY f.pos) p USING (pos)")
 def lowest_neighbor(spark, sf_dir):
-    return stencils.lowest_neighbor(_field(spark, sf_dir), HEALPIX, 2)
+    return stencils.lowest_neighbor(_field(spark, sf_dir), HEALPIX, 2).select("pos", F.coalesce("downhill", F.lit(0)).alias("downhill"))
 
 
 @query("flow_accumulation")
