@@ -34,7 +34,9 @@ from tessellon.llm.textbytes import BASE_INVERSE, chunks, column_bytes, merge_in
 
 LENGTH, K = 50, 16
 #: Bytes of text whose fragments one bucket should hold, and bytes of text that one batch gathers before it sends.
-BUCKET_BYTES, BATCH_BYTES = 6 << 20, 32 << 20
+BUCKET_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+#: Bytes of fragments whose suffixes are hashed and sorted at a time; one least hash with more is handled alone.
+SLICE_BYTES = 1 << 20
 
 
 def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
@@ -175,66 +177,85 @@ def removed_in_bucket(lens: np.ndarray, data: np.ndarray, frag: np.ndarray, doc:
     if not len(frag):
         return none
     begin = np.cumsum(lens) - lens
-    prefix = prefix_hash(data)
-    lead = leaders(stretch_hash(prefix, begin, begin + lens), data, begin, lens)
-    frag = lead[frag]
-    # The least hash of a fragment's first string names the group that its strings can meet.
-    hashes = window_hashes(data, k)
-    w = length - k + 1
-    least = sliding_min(hashes, w)
-    anchor = least[begin[frag]]
-    order = np.argsort(anchor, kind="stable")
-    new = np.append(True, anchor[order][1:] != anchor[order][:-1])
+    value, anchor = np.empty(len(lens), np.uint64), np.empty(len(lens), np.uint64)
+    for lo, hi in _slices(lens):
+        # The least hash of a fragment's first string names the group that its strings can meet.
+        piece, at = data[begin[lo] : begin[hi - 1] + lens[hi - 1]], begin[lo:hi] - begin[lo]
+        value[lo:hi] = stretch_hash(prefix_hash(piece), at, at + lens[lo:hi])
+        anchor[lo:hi] = sliding_min(window_hashes(piece, k), length - k + 1)[at]
+    frag = leaders(value, data, begin, lens)[frag]
+    order = np.argsort(anchor[frag], kind="stable")
+    key = anchor[frag[order]]
+    new = np.append(True, key[1:] != key[:-1])
     at = np.flatnonzero(new)
     several = np.minimum.reduceat(doc[order], at) != np.maximum.reduceat(doc[order], at)
-    keep = np.zeros(len(order), bool)
-    keep[order] = several[np.cumsum(new) - 1]
-    frag, doc, start = frag[keep], doc[keep], start[keep]
-    if not len(frag):
+    order = order[several[np.cumsum(new) - 1]]
+    if not len(order):
         return none
+    frag, doc, start = frag[order], doc[order], start[order]
+    # Distinct fragments in the order of their groups, and slices of whole groups.
     used, frag = np.unique(frag, return_inverse=True)
+    by_anchor = np.argsort(anchor[used], kind="stable")
+    back = np.empty(len(used), np.int64)
+    back[by_anchor] = np.arange(len(used))
+    used, frag = used[by_anchor], back[frag]
     smallest = np.full(len(used), np.iinfo(np.int64).max)
     np.minimum.at(smallest, frag, doc)
-    ubegin, strings = begin[used], lens[used] - length + 1
-    # All strings of the distinct fragments as suffixes.
-    owner = np.repeat(np.arange(len(used)), strings)
+    order = np.argsort(frag, kind="stable")
+    frag, doc, start = frag[order], doc[order], start[order]
+    out = []
+    for lo, hi in _slices(lens[used], anchor[used]):
+        size = lens[used[lo:hi]]
+        first, decides = _decide(gather(data, begin[used[lo:hi]], size), size, anchor[used[lo:hi]], smallest[lo:hi], length, k)
+        a, b = np.searchsorted(frag, [lo, hi])
+        for c in range(a, b, 16384):
+            f, d = frag[c : min(b, c + 16384)] - lo, doc[c : min(b, c + 16384)]
+            count = size[f] - length + 1
+            occ = np.repeat(np.arange(len(f)), count)
+            inner = np.arange(len(occ)) - np.repeat(np.cumsum(count) - count, count)
+            gone = np.flatnonzero(decides[first[f[occ]] + inner] < d[occ])
+            if len(gone):
+                s, e = start[c:b][occ[gone]] + inner[gone], d[occ[gone]]
+                at = np.flatnonzero(np.append(True, (s[1:] != s[:-1] + 1) | (e[1:] != e[:-1])))
+                out.append((e[at], s[at], s[np.append(at[1:] - 1, len(s) - 1)] + length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+
+
+def _slices(size: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with up to SLICE_BYTES in all, or one longer (or one key's run)."""
+    end, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        if key is not None and hi < len(size) and key[hi] == key[hi - 1]:
+            run = int(np.searchsorted(key, key[hi], "left"))
+            hi = run if run > lo else int(np.searchsorted(key, key[hi], "right"))
+        yield lo, hi
+        lo = hi
+
+
+def _decide(data: np.ndarray, lens: np.ndarray, anchor: np.ndarray, smallest: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first string of each fragment, smallest document that has each string), from sorting all strings as suffixes."""
+    begin, strings = np.cumsum(lens) - lens, lens - length + 1
     first = np.cumsum(strings) - strings
-    place = ubegin[owner] + np.arange(len(owner)) - first[owner]
+    owner = np.repeat(np.arange(len(lens)), strings)
+    place = begin[owner] + np.arange(len(owner)) - first[owner]
     with np.errstate(over="ignore"):
-        group = mix(hashes[place] ^ (least[ubegin][owner] * np.uint64(3)))
+        group = mix(window_hashes(data, k)[place] ^ (anchor[owner] * np.uint64(3)))
     order = np.argsort(group, kind="stable")
-    group, sa = group[order], place[order]
+    group = group[order]
     suffixes = _Suffixes(data, length)
-    sa = suffixes.sort(sa, group)
+    sa = suffixes.sort(place[order], group)
     equal = np.zeros(len(sa), bool)
     near = np.flatnonzero(group[1:] == group[:-1]) + 1
     near = near[suffixes.extension(sa[near - 1], sa[near]) >= length]
     equal[near[same_bytes(data, sa[near - 1], sa[near], np.full(len(near), length))]] = True
-    # Places are unique, so a string's owner is found from its place.
-    slot = np.empty(len(data), np.int64) if len(data) < 1 << 27 else None
-    if slot is not None:
-        slot[place] = np.arange(len(place))
-        index = slot[sa]
-    else:
-        by_place = np.argsort(place)
-        index = by_place[np.searchsorted(place[by_place], sa)]
-    run = np.cumsum(~equal) - 1
-    least_doc = np.minimum.reduceat(smallest[owner[index]], np.flatnonzero(~equal))
+    # Places are unique, so the string is found again from its place.
+    slot = np.empty(len(data), np.int64)
+    slot[place] = np.arange(len(place))
+    index = slot[sa]
     decides = np.empty(len(place), np.int64)
-    decides[index] = least_doc[run]
-    # Every occurrence loses the strings that a smaller document has.
-    count = strings[frag]
-    occ = np.repeat(np.arange(len(frag)), count)
-    inner = np.arange(len(occ)) - np.repeat(np.cumsum(count) - count, count)
-    gone = decides[first[frag[occ]] + inner] < doc[occ]
-    s = (start[occ] + inner)[gone]
-    d = doc[occ][gone]
-    if not len(s):
-        return none
-    edge = np.ones(len(s), bool)
-    edge[1:] = (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1])
-    at = np.flatnonzero(edge)
-    return d[at], s[at], s[np.append(at[1:] - 1, len(s) - 1)] + length
+    decides[index] = np.minimum.reduceat(smallest[owner[index]], np.flatnonzero(~equal))[np.cumsum(~equal) - 1]
+    return first, decides
 
 
 def _pack(*arrays: np.ndarray) -> tuple[bytes, int]:
