@@ -26,23 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.components import cut
 from tessellon.llm.textbytes import BASE_INVERSE, chunks, column_bytes, merge_intervals, mix, powers, prefix_hash, stretch_hash
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 12
 #: Bytes of text whose fragments one bucket should hold, and bytes of text that one batch gathers before it sends.
 BUCKET_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
 #: Bytes of fragments whose suffixes are hashed and sorted at a time; one least hash with more is handled alone.
 SLICE_BYTES = 1 << 20
 
 
-def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """The mixed hash of every k bytes."""
-    h = prefix_hash(buf)
-    n = len(buf) - k + 1
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The mixed hash of every k bytes, from prefix hashes."""
+    n = len(h) - k
     with np.errstate(over="ignore"):
         return mix((h[k:] - h[:n]) * powers(BASE_INVERSE, max(1, n))[:n])
 
@@ -58,12 +57,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def fragments(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fragments(prefix: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, strings, least hash, row) of the runs of up to length - k + 1 strings that share their least hash."""
     none = np.zeros(0, np.int64)
-    if len(buf) < length:
+    if len(prefix) <= length:
         return none, none, none.astype(np.uint64), none
-    least = sliding_min(window_hashes(buf, k), length - k + 1)
+    least = sliding_min(window_hashes(prefix, k), length - k + 1)
     size = np.diff(off)
     row = np.repeat(np.arange(len(size)), size)[: len(least)]
     valid = np.arange(len(least)) + length <= off[1:][row]
@@ -98,13 +97,15 @@ def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 
 def leaders(value: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For every stretch the first one that equals it; hashes propose, bytes decide."""
-    order = np.lexsort((np.arange(len(value)), size, value))
-    new = np.ones(len(order), bool)
-    new[1:] = (value[order][1:] != value[order][:-1]) | (size[order][1:] != size[order][:-1])
+    with np.errstate(over="ignore"):
+        value = value ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(value, kind="stable")
+    new = np.append(True, value[order][1:] != value[order][:-1]) if len(order) else np.zeros(0, bool)
     lead = np.empty(len(order), np.int64)
     lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     other = np.flatnonzero(lead != np.arange(len(lead)))
-    wrong = other[~same_bytes(buf, start[other], start[lead[other]], size[other])]
+    even = size[other] == size[lead[other]]
+    wrong = np.concatenate([other[~even], other[even][~same_bytes(buf, start[other[even]], start[lead[other[even]]], size[other[even]])]])
     lead[wrong] = wrong
     return lead
 
@@ -181,8 +182,9 @@ def removed_in_bucket(lens: np.ndarray, data: np.ndarray, frag: np.ndarray, doc:
     for lo, hi in _slices(lens):
         # The least hash of a fragment's first string names the group that its strings can meet.
         piece, at = data[begin[lo] : begin[hi - 1] + lens[hi - 1]], begin[lo:hi] - begin[lo]
-        value[lo:hi] = stretch_hash(prefix_hash(piece), at, at + lens[lo:hi])
-        anchor[lo:hi] = sliding_min(window_hashes(piece, k), length - k + 1)[at]
+        prefix = prefix_hash(piece)
+        value[lo:hi] = stretch_hash(prefix, at, at + lens[lo:hi])
+        anchor[lo:hi] = sliding_min(window_hashes(prefix, k), length - k + 1)[at]
     frag = leaders(value, data, begin, lens)[frag]
     order = np.argsort(anchor[frag], kind="stable")
     key = anchor[frag[order]]
@@ -239,11 +241,11 @@ def _decide(data: np.ndarray, lens: np.ndarray, anchor: np.ndarray, smallest: np
     first = np.cumsum(strings) - strings
     owner = np.repeat(np.arange(len(lens)), strings)
     place = begin[owner] + np.arange(len(owner)) - first[owner]
+    suffixes = _Suffixes(data, length)
     with np.errstate(over="ignore"):
-        group = mix(window_hashes(data, k)[place] ^ (anchor[owner] * np.uint64(3)))
+        group = mix(window_hashes(suffixes.prefix, k)[place] ^ (anchor[owner] * np.uint64(3)))
     order = np.argsort(group, kind="stable")
     group = group[order]
-    suffixes = _Suffixes(data, length)
     sa = suffixes.sort(place[order], group)
     equal = np.zeros(len(sa), bool)
     near = np.flatnonzero(group[1:] == group[:-1]) + 1
@@ -258,9 +260,8 @@ def _decide(data: np.ndarray, lens: np.ndarray, anchor: np.ndarray, smallest: np
     return first, decides
 
 
-def _pack(*arrays: np.ndarray) -> tuple[bytes, int]:
-    raw = pickle.dumps(arrays, 5)
-    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays, 5), 5)
 
 
 def _spans_blob(start: np.ndarray, end: np.ndarray) -> bytes:
@@ -278,7 +279,8 @@ def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[i
 
 
 def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """docs (id, base, text) as rows (bucket, id, raw, data): packed fragments for a bucket, or spans of an id (bucket null)."""
+    """docs (id, base, text) as rows (bucket, id, data): packed fragments for a bucket, or spans that are known already to be
+    the id's (they travel by any bucket)."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, bases = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -286,9 +288,10 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         buf = np.concatenate([h[2] for h in held])
         parts = []
         for lo, _, b, o in chunks(buf, off):
-            begin, count, least, row = fragments(b, o, length, k)
+            prefix = prefix_hash(b)
+            begin, count, least, row = fragments(prefix, o, length, k)
             if len(begin):
-                parts.append((begin + off[lo], count + length - 1, least, row + lo, stretch_hash(prefix_hash(b), begin, begin + count + length - 1)))
+                parts.append((begin + off[lo], count + length - 1, least, row + lo, stretch_hash(prefix, begin, begin + count + length - 1)))
         if not parts:
             return
         begin, size, least, row, value = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -297,7 +300,7 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         np.minimum.at(smallest, lead, ids[row])
         local = ids[row] == smallest[lead]
         start = begin - off[row] + bases[row]
-        out = [(None, d, 0, s) for d, s in zip(*_by_doc(ids[row][~local], start[~local], (start + size)[~local]), strict=True)]
+        out = [(d % buckets, d, s) for d, s in zip(*_by_doc(ids[row][~local], start[~local], (start + size)[~local]), strict=True)]
         bucket = (least % np.uint64(buckets)).astype(np.int64)
         order = np.flatnonzero(local)
         order = order[np.lexsort((start[order], ids[row[order]], bucket[order]))]
@@ -309,11 +312,11 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
             # The leader of equal fragments may belong to another id; the first of ours stands for it here.
             _, which, frag = np.unique(lead[own], return_index=True, return_inverse=True)
             kept = own[which]
-            blob, raw = _pack(size[kept].astype(np.uint8), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
-            out.append((q, None, raw, blob))
+            blob = _pack(size[kept].astype(np.uint8), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
+            out.append((q, None, blob))
         for lo in range(0, len(out), 4096):
             c = list(zip(*out[lo : lo + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["bucket", "id", "raw", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["bucket", "id", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -329,18 +332,20 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "bucket int, id long, raw long, data binary")
+    return docs.mapInArrow(run, "bucket int, id long, data binary")
 
 
 def _bucket(length: int, k: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         parts, have = [], 0
-        for raw, blob in zip(group["raw"], group["data"], strict=True):
-            lens, data, frag, doc, start = pickle.loads(pa.decompress(blob, decompressed_size=raw, codec="zstd", asbytes=True))
+        known = group["id"].notna()
+        for blob in group["data"][~known]:
+            lens, data, frag, doc, start = pickle.loads(zstandard.decompress(blob))
             parts.append((lens.astype(np.int64), data, np.cumsum(frag, dtype=np.int64) + have, np.cumsum(doc), np.cumsum(start)))
             have += len(lens)
-        ids, blobs = _by_doc(*removed_in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), length, k))
-        return pd.DataFrame({"id": np.array(ids, np.int64), "data": pd.Series(blobs, dtype=object)})
+        ids, blobs = _by_doc(*removed_in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), length, k)) if parts else ([], [])
+        ids = np.concatenate([np.array(ids, np.int64), group["id"][known].to_numpy(np.int64)])
+        return pd.DataFrame({"id": ids, "data": pd.Series(blobs + group["data"][known].tolist(), dtype=object)})
 
     return run
 
@@ -349,9 +354,21 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
     """(id, blobs) for docs (id, base, text): arrays of packed (start, end) in bytes, counted from base."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_BYTES))
-    sent = cut(_send(docs.filter("id is not null"), buckets, length, k))
-    found = sent.filter("bucket is not null").select("bucket", "raw", "data").groupBy("bucket").applyInPandas(_bucket(length, k), "id long, data binary")
-    return found.union(sent.filter("bucket is null").select("id", "data")).groupBy("id").agg(F.collect_list("data").alias("blobs"))
+    sent = _send(docs.filter("id is not null"), buckets, length, k)
+    found = sent.groupBy("bucket").applyInPandas(_bucket(length, k), "id long, data binary")
+    return found.groupBy("id").agg(F.collect_list("data").alias("blobs"))
+
+
+def _packed_texts(rows: DataFrame) -> DataFrame:
+    """(id, base, packed) with the texts compressed, as they are to be shuffled whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3).compress
+        for b in batches:
+            packed = [pack(t.as_buffer()) if t.is_valid else None for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["id"], b["base"], pa.array(packed, pa.binary())], names=["id", "base", "packed"])
+
+    return rows.select("id", "base", "text").mapInArrow(run, "id long, base long, packed binary")
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -371,14 +388,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
     rows = _identified(docs, id_col, text_col)
     spans = removed_spans(rows, length)
-    joined = rows.join(spans, "id", "left").select("id", "base", "text", "blobs")
+    joined = _packed_texts(rows).join(spans, "id", "left").select("id", "base", "packed", "blobs")
     fields = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if kept_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for base, text, blobs in zip(b["base"].to_pylist(), b["text"], b["blobs"], strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            for base, text, blobs in zip(b["base"].to_pylist(), b["packed"], b["blobs"], strict=True):
+                raw = zstandard.decompress(text.as_buffer()) if text.is_valid else b""
                 n, removed, count = len(raw), 0, 0
                 if blobs.is_valid:
                     all_ = np.frombuffer(b"".join(blobs.as_py()), "<i8").reshape(-1, 2)
