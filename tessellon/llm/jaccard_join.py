@@ -10,7 +10,7 @@ Documents whose shingle sets are equal form a class (by size and a 64-bit sum of
   Tiles with equal members count once. No group is expanded into all its pairs.
 * A pair must lie in the size band, then its bitmaps must allow enough overlap (bits of one signature that the other
   lacks bound the overlap from above), then the sorted hash arrays are intersected exactly. Pairs whose ends are
-  already joined need no intersection: first every class tries one partner, later only pairs across components are read.
+  already joined need no intersection: first every class tries its most alike partner, later only pairs across components are read.
 
 Defined cases: null or empty texts, or texts without words, have the empty set and link with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows and ids share a class; rows with a null id take no part in links
@@ -98,12 +98,12 @@ def _describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, width: int, percent: int, level, buckets: int) -> DataFrame:
-    """(bucket, keys, members, classes): prefix shingles of a batch, packed by bucket of the shingle's hash."""
+    """(bucket, keys, members, classes, sizes): prefix shingles of a batch, packed by bucket of the shingle's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
         for b in batches:
-            keys, members, classes, begun = [], [], [], 0
+            keys, members, classes, sizes, begun = [], [], [], [], 0
             buf, off = column_bytes(b.column(0))
             for _, _, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
@@ -116,10 +116,11 @@ def _postings(docs: DataFrame, width: int, percent: int, level, buckets: int) ->
                 keys.append(value[keep])
                 members.append(row[keep] + begun)
                 classes.append(cls)
+                sizes.append(size)
                 begun += len(size)
             if not keys:
                 continue
-            key, member, cls = np.concatenate(keys), np.concatenate(members), np.concatenate(classes)
+            key, member, cls, n = (np.concatenate(x) for x in (keys, members, classes, sizes))
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((key, bucket))
             key, member, bucket = key[order], member[order], bucket[order]
@@ -129,71 +130,74 @@ def _postings(docs: DataFrame, width: int, percent: int, level, buckets: int) ->
                 s, e = at[k], at[k + 1]
                 if s < e:
                     used, local = np.unique(member[s:e], return_inverse=True)
-                    out.append((k, (key[s:e] >> np.uint64(24)).astype("<u4").tobytes() + ((key[s:e] >> np.uint64(56)).astype("u1")).tobytes(), local.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), cls[used].tobytes()))
+                    out.append((k, (key[s:e] >> np.uint64(24)).astype("<u4").tobytes() + ((key[s:e] >> np.uint64(56)).astype("u1")).tobytes(), local.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), cls[used].tobytes(), n[used].astype("<u4").tobytes()))
             columns = list(zip(*out, strict=True))
             if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes"])
-
-    return docs.mapInArrow(run, "bucket int, keys binary, members binary, classes binary")
-
-
-def _tile_bucket(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """kind 0: candidate pairs a < b; kind 1: (tile, class) of large tiles; kind 2: (tile, members)."""
-    keys, cls = [], []
-    for k, m, c in zip(group["keys"], group["members"], group["classes"], strict=True):
-        n = len(k) // 5
-        own = np.frombuffer(c, np.int64)
-        keys.append(np.frombuffer(k, "<u4", n).astype(np.uint64) | np.frombuffer(k, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
-        cls.append(own[np.frombuffer(m, "<u2" if len(own) <= 1 << 16 else "<u4")])
-    keys, cls = np.concatenate(keys), np.concatenate(cls)
-    order = np.lexsort((cls, keys))
-    keys, cls = keys[order], cls[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
-    keys, cls = keys[new], cls[new]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(first)
-    size = np.diff(np.append(at, len(keys)))
-    name = np.zeros(0, np.uint64)
-    if len(at):
-        with np.errstate(over="ignore"):
-            name = mix(np.add.reduceat(mix(cls.view(np.uint64)), at) + size.astype(np.uint64))
-    _, once = np.unique(name, return_index=True)
-    once = once[size[once] >= 2]
-    a, b = [], []
-    for g in np.unique(size[once[size[once] <= SMALL_TILE]]):
-        tile = cls[at[once[size[once] == g]][:, None] + np.arange(g)]
-        i, j = np.triu_indices(g, 1)
-        a.append(tile[:, i].ravel())
-        b.append(tile[:, j].ravel())
-    big_tile, big_cls = [], []
-    for t in once[size[once] > SMALL_TILE]:
-        tile = cls[at[t] : at[t] + size[t]]
-        pivot = tile[int(np.argmin(mix(tile.view(np.uint64) ^ name[t])))]
-        other = tile[tile != pivot]
-        a.append(np.minimum(other, pivot))
-        b.append(np.maximum(other, pivot))
-        big_tile.append(np.full(size[t], name[t].view(np.int64)))
-        big_cls.append(tile)
-    a = np.concatenate(a) if a else np.zeros(0, np.int64)
-    b = np.concatenate(b) if b else np.zeros(0, np.int64)
-    row, other = distinct(a, b)
-    tiles = np.concatenate(big_tile) if big_tile else np.zeros(0, np.int64)
-    members = np.concatenate(big_cls) if big_cls else np.zeros(0, np.int64)
-    return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(row), len(tiles)]), "a": np.concatenate([row, tiles]), "b": np.concatenate([other, members])})
-
-
-def bitmap_allows(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and signatures (rows of 64-bit words) leave room for the overlap required."""
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes", "sizes"])
+
+    return docs.mapInArrow(run, "bucket int, keys binary, members binary, classes binary, sizes binary")
+
+
+def _tile_bucket(percent: int):
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """kind 0: candidate pairs a < b in each other's size band; kind 1: (tile, class) of large tiles."""
+        keys, cls, n = [], [], []
+        for k, m, c, z in zip(group["keys"], group["members"], group["classes"], group["sizes"], strict=True):
+            count = len(k) // 5
+            own = np.frombuffer(c, np.int64)
+            at = np.frombuffer(m, "<u2" if len(own) <= 1 << 16 else "<u4")
+            keys.append(np.frombuffer(k, "<u4", count).astype(np.uint64) | np.frombuffer(k, "u1", count, 4 * count).astype(np.uint64) << np.uint64(32))
+            cls.append(own[at])
+            n.append(np.frombuffer(z, "<u4").astype(np.int64)[at])
+        keys, cls, n = np.concatenate(keys), np.concatenate(cls), np.concatenate(n)
+        order = np.lexsort((cls, n, keys))
+        keys, cls, n = keys[order], cls[order], n[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
+        keys, cls, n = keys[new], cls[new], n[new]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(keys)))
+        name = np.zeros(0, np.uint64)
+        if len(at):
+            with np.errstate(over="ignore"):
+                name = mix(np.add.reduceat(mix(cls.view(np.uint64)), at) + size.astype(np.uint64))
+        _, once = np.unique(name, return_index=True)
+        once = once[size[once] >= 2]
+        a, b, big_tile, big_cls = [], [], [], []
+
+        def put(x, y, nx, ny):
+            band = np.minimum(nx, ny) * (100 + percent) >= percent * (nx + ny)
+            a.append(np.minimum(x, y)[band])
+            b.append(np.maximum(x, y)[band])
+
+        for g in np.unique(size[once[size[once] <= SMALL_TILE]]):
+            at_g = at[once[size[once] == g]][:, None] + np.arange(g)
+            i, j = np.triu_indices(g, 1)
+            put(*(x.ravel() for x in (cls[at_g][:, i], cls[at_g][:, j], n[at_g][:, i], n[at_g][:, j])))
+        for t in once[size[once] > SMALL_TILE]:
+            tile, own = cls[at[t] : at[t] + size[t]], n[at[t] : at[t] + size[t]]
+            p = int(np.argmin(mix(tile.view(np.uint64) ^ name[t])))
+            rest = np.append(np.arange(p), np.arange(p + 1, len(tile)))
+            put(np.full(len(rest), tile[p]), tile[rest], np.full(len(rest), own[p]), own[rest])
+            big_tile.append(np.full(size[t], name[t].view(np.int64)))
+            big_cls.append(tile)
+        a, b, tiles, members = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, big_tile, big_cls))
+        row, other = distinct(a, b)
+        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(row), len(tiles)]), "a": np.concatenate([row, tiles]), "b": np.concatenate([other, members])})
+
+    return run
+
+
+def bitmap_room(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, percent: int) -> np.ndarray:
+    """By how much the overlap that sizes and signatures (rows of 64-bit words) leave room for exceeds what is required."""
     need = required(na, nb, percent)
-    keep = np.minimum(na, nb) >= need
-    at = np.flatnonzero(keep)
+    room = np.minimum(na, nb) - need
+    at = np.flatnonzero(room >= 0)
     for lo in range(0, len(at), 4096):
         i = at[lo : lo + 4096]
         most = np.minimum(na[i] - np.bitwise_count(sa[i] & ~sb[i]).sum(1, dtype=np.int64), nb[i] - np.bitwise_count(sb[i] & ~sa[i]).sum(1, dtype=np.int64))
-        keep[i] = most >= need[i]
-    return keep
+        room[i] = most - need[i]
+    return room
 
 
 def _words64(column: pa.Array) -> np.ndarray:
@@ -201,7 +205,7 @@ def _words64(column: pa.Array) -> np.ndarray:
 
 
 def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that band and bitmaps allow, with the ids that stand for their classes."""
+    """The pairs (a, b) that band and bitmaps allow, with the ids that stand for their classes and the share of room left."""
     one = classes.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("data").alias("sa"))
     two = classes.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("data").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ia", "ib", "na", "nb", "sa", "sb")
@@ -209,10 +213,12 @@ def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                ok = bitmap_allows(x["na"].to_numpy(), x["nb"].to_numpy(), _words64(x["sa"]), _words64(x["sb"]), percent)
-                yield x.select(["a", "b", "ia", "ib"]).filter(pa.array(ok))
+                na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
+                room = bitmap_room(na, nb, _words64(x["sa"]), _words64(x["sb"]), percent)
+                share = pa.array(room / (na + nb))
+                yield pa.RecordBatch.from_arrays([x["a"], x["b"], x["ia"], x["ib"], share], names=["a", "b", "ia", "ib", "room"]).filter(pa.array(room >= 0))
 
-    return joined.mapInArrow(run, "a long, b long, ia long, ib long")
+    return joined.mapInArrow(run, "a long, b long, ia long, ib long, room double")
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -272,7 +278,7 @@ def _across(tiles: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
             at = lo + np.flatnonzero(comp[lo:hi] != r.comp)
             if len(at):
                 own = np.broadcast_to(np.frombuffer(r.data, np.uint64), (len(at), bits.shape[1]))
-                at = at[bitmap_allows(np.full(len(at), r.n), n[at], own, bits[at], percent)]
+                at = at[bitmap_room(np.full(len(at), r.n), n[at], own, bits[at], percent) >= 0]
                 out.append((np.minimum(ids[at], r.id), np.maximum(ids[at], r.id)))
         a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
         a, b = distinct(a, b)
@@ -295,10 +301,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     levels = np.floor(np.log2(counts / max(1.0, counts.mean()) + 1)).astype(np.int8)
     buckets = max(8, -(-int(table.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket, "kind int, a long, b long"))
-    pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")))
-    # First one partner for every class, then whatever lies across the components found.
-    first = _exact(pairs.groupBy("ib").agg(F.min("ia").alias("ia")), rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket(percent), "kind int, a long, b long"))
+    pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), "room"))
+    # First the most alike partner of every class, then whatever lies across the components found.
+    ends = pairs.select("ia", "ib", "room").union(pairs.select(F.col("ib").alias("ia"), F.col("ia").alias("ib"), "room"))
+    best = ends.groupBy("ib").agg(F.max_by("ia", F.struct("room", "ia")).alias("ia"))
+    best = best.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
+    first = _exact(best, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     first = cut(first)
     labels = components(first)
     links = first
@@ -307,8 +316,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     two = labels.select(F.col("node").alias("ib"), F.col("label").alias("lb"))
     apart = pairs.join(one, "ia", "left").join(two, "ib", "left").filter(F.coalesce("la", "ia") != F.coalesce("lb", "ib")).select("ia", "ib")
     second = cut(_exact(apart, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    links = links.union(second)
-    labels = components(links)
+    if not second.isEmpty():
+        links = links.union(second)
+        labels = components(links)
     left = cut(_across(tiles, labels, classes, percent))
     third = cut(_exact(left, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
     if not third.isEmpty():
