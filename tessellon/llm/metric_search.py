@@ -14,7 +14,7 @@ Blocks of queries meet shards (never rows all rows), each giving at most k per q
 
 Defined cases: a vector that is null or has null or non-finite components takes no part; only vectors of equal length
 are compared; ties go to the smaller id; fewer candidates than k give fewer rows; rows sharing an id are all
-candidates (and each such query row searches); an empty table gives none. Scores beyond 64 bits saturate.
+candidates, and k rows are given for the id; an empty table gives none. Scores beyond 64 bits saturate.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a shard, entries of a leaf page, children of an inner page, queries of a block.
-SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 64, 16, 2048
+SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 512, 16, 2048
 #: Inner products below this are exact in double precision.
 EXACT = 2.0**53
 PAGE_SCHEMA = "shard int, dims int, node int, parent int, leaf boolean, pivot binary, radius double, to_parent double, ids binary, vectors binary, to_pivot binary"
@@ -82,12 +82,14 @@ class Forest:
             for r in pages.itertuples()
             if r.leaf
         }
+        self.largest = {n: float(np.abs(v).max(initial=0)) for n, (_, v, _) in self.leaf.items()}
 
     def search(self, own: int, q: np.ndarray, k: int, top: float) -> list[tuple[int, int]]:
         """The best (score, id) pairs, best first; the query's own id takes no part."""
         lifted, norm = np.append(q, 0.0), float(q @ q)
         scale = np.sqrt(norm + top) + 1.0
         slack = 1e-7 * scale
+        widest = float(np.abs(q).max(initial=0)) * max(1, len(q))
         best: list[tuple[int, int]] = []  # a heap of (score, -id), worst first
         reach = np.inf
         d0 = float(np.linalg.norm(lifted - self.pivot[0]))
@@ -109,8 +111,8 @@ class Forest:
             maybe = np.flatnonzero((np.abs(d - to_pivot) <= reach + slack) & (ids != own))
             if not len(maybe):
                 continue
-            if np.abs(vectors).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) < EXACT:
-                scores = (vectors[maybe] @ q).astype(np.int64)
+            if self.largest[node] * widest < EXACT:
+                scores = ((vectors if len(maybe) == len(ids) else vectors[maybe]) @ q).astype(np.int64)
                 if len(best) == k:
                     keep = scores >= best[0][0]
                     maybe, scores = maybe[keep], scores[keep]
