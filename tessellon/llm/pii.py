@@ -3,7 +3,7 @@
 Base spans (email, ip, card, phone) are exact patterns and always stay. The generators also propose overlapping spans
 that the base patterns miss (written-out addresses, national phone numbers, bank accounts, social security numbers,
 IPv6 addresses, shorter card numbers); boosted trees score each by its format and the words around it, a threshold
-calibrated per kind on held-out examples selects, and of overlapping selected spans the best scored one is kept.
+calibrated per kind on held-out examples selects, and of overlapping selected spans the longest one is kept.
 The trees learn from examples that are composed here with a fixed seed; nothing is read for it.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated results. Spans are in code points.
@@ -208,11 +208,11 @@ def train(examples: int = 4000, precision: float = 0.97, seed: int = 7) -> tuple
 
 
 def select(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]], p: np.ndarray, thresholds: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The proposed spans that score enough, free of overlaps with base spans and with better scored ones."""
+    """The proposed spans that score enough, free of overlaps with base spans and with longer ones."""
     kept: list[tuple[str, int, int]] = []
     s, e = merge_intervals(*(np.array([x[i] for x in base], np.int64) for i in (1, 2)))
     starts, ends = s.tolist(), e.tolist()
-    for i in sorted((i for i in range(len(found)) if p[i] >= thresholds[found[i][0]]), key=lambda i: (-p[i], RANK[found[i][0]], found[i][1])):
+    for i in sorted((i for i in range(len(found)) if p[i] >= thresholds[found[i][0]]), key=lambda i: (found[i][1] - found[i][2], -p[i], RANK[found[i][0]], found[i][1])):
         _, s, e = found[i]
         at = bisect_right(starts, s)
         if (at == 0 or ends[at - 1] <= s) and (at == len(starts) or starts[at] >= e):

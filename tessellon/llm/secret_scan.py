@@ -110,7 +110,7 @@ def is_der_key(data: bytes) -> bool:
         return False
     inner = der_items(top[0][1]) or []
     tags = [t for t, _ in inner]
-    private = len(tags) >= 3 and tags[0] == 0x02 and (tags.count(0x02) >= 6 or 0x04 in tags[1:3])
+    private = len(tags) >= 2 and tags[0] == 0x02 and (tags.count(0x02) >= 6 or 0x04 in tags[1:3])
     public = tags[:2] == [0x30, 0x03] and any(t == 0x06 for t, _ in der_items(inner[0][1]) or [])
     return private or public
 

@@ -55,7 +55,7 @@ def test_tables(spark, sf):
 
 def test_added_personal_data():
     trees, cut = pii.train()
-    text = "Please write to our contact anna.k (at) mailbox (dot) org or call +1 (269) 555-3296 452413226. Look at this.then go. Version 1.2.3."
+    text = "Please write to our contact anna.k (at) mailbox (dot) org or call +1 (314) 555-6532 466362261. Look at this.then go. Version 1.2.3."
     (base, added), = pii.spans_of([text], trees, cut)
     assert {k for k, _, _ in added} >= {"written_email", "intl_phone"}
     assert "mailbox" not in pii.redact(text, base + added) and "this.then" in pii.redact(text, base + added)
