@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a shard, entries of a leaf page, children of an inner page, queries of a block.
-SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 512, 16, 2048
+SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 2048, 16, 2048
 #: Inner products below this are exact in double precision.
 EXACT = 2.0**53
 PAGE_SCHEMA = "shard int, dims int, node int, parent int, leaf boolean, pivot binary, radius double, to_parent double, ids binary, vectors binary, to_pivot binary"
@@ -44,7 +44,7 @@ def _distances(points: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def build_pages(ids: np.ndarray, x: np.ndarray, top: float) -> Iterator[dict]:
-    """Bulk load: split by nearest of FANOUT spread-out routing vectors until a page holds the rest; parents first."""
+    """Bulk load: split by the nearest of some routing vectors until a page holds the rest; parents first."""
     points, count = lift(x, top), 0
     todo = [(np.arange(len(ids)), -1, None)]
     while todo:
@@ -58,13 +58,12 @@ def build_pages(ids: np.ndarray, x: np.ndarray, top: float) -> Iterator[dict]:
             yield page | {"leaf": True, "ids": ids[rows].tobytes(), "vectors": x[rows].tobytes(), "to_pivot": far.tobytes()}
             continue
         yield page | {"leaf": False, "ids": None, "vectors": None, "to_pivot": None}
+        # Routing vectors evenly among the rows by distance from the centre: far outliers would draw tiny pages.
         nearest, best = np.zeros(len(rows), np.int64), far
-        for k in range(1, FANOUT):
-            d = _distances(own, own[int(np.argmax(best))])
+        for k, r in enumerate(np.argsort(far, kind="stable")[np.linspace(0, len(rows) - 1, FANOUT + 1).astype(int)[1:]], 1):
+            d = _distances(own, own[r])
             nearest[d < best] = k
             best = np.minimum(best, d)
-            if best.max() == 0:
-                break
         todo += [(rows[nearest == k], page["node"], centre) for k in np.unique(nearest)]
 
 
