@@ -32,25 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in links (a, b): label is the smallest node that it reaches.
 
-    A round sends each node the smallest label among its neighbours', then jumps to the label's own label; components
-    of diameter d take about log2(d) rounds. Everything stays distributed; each round is cut to storage.
+    A round jumps every node to the label of its label node, takes the smallest such label among its neighbours', and
+    shares it with all nodes of the same label; a path of d links takes about log2(d) rounds. Rounds go on until
+    nothing changes: labels only fall, so that they end. Everything stays distributed; each round is cut to storage.
     """
     edges = cut(links.select("a", "b").filter("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        own = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "m").alias("low"))
-        # The label's own label: the smallest that any node with this label was told.
-        told = own.groupBy("label").agg(F.min("low").alias("jump"))
-        jumped = own.join(told, "label").select("node", "label", F.least("low", "jump").alias("next"))
-        state = cut(jumped)
+    while True:
+        # A label is a node itself: its own label is the jump.
+        root = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
+        far = labels.join(root, "label").select("node", "label", "jump")
+        near = edges.join(far.select(F.col("node").alias("b"), "jump"), "b").groupBy("a").agg(F.min("jump").alias("m"))
+        own = far.join(near, far["node"] == near["a"]).select("node", "label", F.least("jump", "m").alias("low"))
+        told = own.groupBy("label").agg(F.min("low").alias("least"))
+        state = cut(own.join(told, "label").select("node", "label", F.least("low", "least").alias("next")))
         labels = state.select("node", F.col("next").alias("label"))
         if state.filter(F.col("next") < F.col("label")).isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def combine_slices(parts: DataFrame, dtype: str, how: str) -> np.ndarray:

@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tessellon.llm import contamination, jaccard_join, pii, quality, suffix_dedup
+from tessellon.llm import components, contamination, jaccard_join, pii, quality, suffix_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,6 +95,23 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """Paths in id order, against it and shuffled settle in logarithmic rounds."""
+    calls, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: calls.append(1) or cut(df))
+    n, order = 300, random.Random(4).sample(range(600, 900), 300)
+    rows = [(i, i + 1) for i in range(n - 1)] + [(300 + i + 1, 300 + i) for i in range(n - 1)] + list(zip(order, order[1:]))
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect())
+    assert got == {i: i // n * n for i in range(3 * n)} and len(calls) <= 14
+
+
+def test_jaccard_join_of_an_ordered_chain(spark):
+    """Each text links to its neighbours only."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 20))) for i in range(300)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 17, 0) for i in range(300)]
+
+
 def test_pipeline(spark, sf):
     """Each stage on its own input, then the whole run."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
