@@ -331,6 +331,19 @@ def extensive():
 extensive.uses_total = False
 
 
+#: Parts into which cells and slices are each dealt where they are paired.
+PARTS = 16
+
+
+def _every_slice(cells: DataFrame, slices: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """(dst, dims...): every cell with every slice, by an equi-join on (part of the cells, part of the slices)."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    part = lambda *c: F.pmod(F.xxhash64(*c), F.lit(PARTS)).cast("int")
+    left = cells.select("dst", part("dst").alias("_i"), every.alias("_j"))
+    right = slices.select(*dims, part(*dims).alias("_j"), every.alias("_i"))
+    return left.join(right, ["_i", "_j"]).select("dst", *dims)
+
+
 def regrid(data: DataFrame, plan: Plan, policy=None, pos: str = "pos", value: str = "value", dims: tuple[str, ...] = (), sentinel: float | None = None, blank: str = "null") -> DataFrame:
     """(pos, dims..., value) on the destination, as double.
 
@@ -343,8 +356,16 @@ def regrid(data: DataFrame, plan: Plan, policy=None, pos: str = "pos", value: st
     total = plan.weights.groupBy("dst").agg(F.sum("w").alias("total"))
     sums = plan.weights.join(src, "src").groupBy("dst", *dims).agg(F.sum(F.col("w") * F.col("v")).alias("num"), F.sum(F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0.0)).alias("cover"))
     cells = plan.destination.cells(data.sparkSession).withColumnRenamed("pos", "dst")
-    frame = cells.crossJoin(F.broadcast(src.select(*dims).distinct().limit(1 << 20))) if dims else cells
-    out = frame.join(total, "dst", "left").join(sums, ["dst", *dims], "left")
+    if dims:
+        # NULL is a slice as well.
+        frame = _every_slice(cells, src.select(*dims).distinct(), dims)
+        own = sums.select(F.col("dst").alias("_dst"), *(F.col(d).alias(f"_{d}") for d in dims), "num", "cover")
+        same = F.col("dst") == F.col("_dst")
+        for d in dims:
+            same &= F.col(d).eqNullSafe(F.col(f"_{d}"))
+        out = frame.join(total, "dst", "left").join(own, same, "left")
+    else:
+        out = cells.join(total, "dst", "left").join(sums, "dst", "left")
     result = policy(F.col("num"), F.coalesce("cover", F.lit(0.0)), F.coalesce("total", F.lit(0.0)))
     if blank == "nan":
         result = F.coalesce(result, F.lit(float("nan")))

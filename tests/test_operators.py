@@ -96,6 +96,21 @@ def test_policies(spark):
         G.RasterGrid([0, 1, 1], [0, 1])
 
 
+def test_regrid_keeps_every_slice(spark):
+    """More slices than the 1 << 20 that the frame once held, and the NULL slice; slices without a value get their blank rows."""
+    plan = G.plan_regrid(spark, G.RasterGrid([0, 10, 20], [0, 10]), G.RasterGrid([0, 20], [0, 10]), "conservative")
+    n = (1 << 20) + 5
+    data = spark.range(n).select(F.lit(1).cast("long").alias("pos"), F.when(F.col("id") > 0, F.col("id")).alias("t"), F.col("id").cast("double").alias("value"))
+    out = G.regrid(data, plan, G.weighted(0.4), dims=("t",))
+    assert out.columns == ["pos", "t", "value"]
+    assert out.agg(F.count("*"), F.countDistinct("t"), F.sum("value")).first() == (n, n - 1, n * (n - 1) / 2)
+    plan = G.plan_regrid(spark, G.DGGSpace("HEALPix", 1), "HEALPix", "nearest", 2)
+    some = spark.createDataFrame([(p, b, t, 1.0 * p) for p in (1, 7, 40) for b in ("r", None) for t in (1, 2)], "pos long, b string, t int, value double")
+    rows = G.regrid(some, plan, dims=("b", "t")).collect()
+    assert len(rows) == 192 * 4 == len({(r.pos, r.b, r.t) for r in rows})
+    assert all(r.value == ((r.pos + 3) // 4 if (r.pos + 3) // 4 in (1, 7, 40) else None) for r in rows)
+
+
 def test_flow_accumulates_everything(spark):
     f = H.levelgrid(spark, 2).select("pos", ((F.col("pos") * 7919) % 101).cast("double").alias("z"))
     d = S.flow_direction(f, H, 2).toPandas()
