@@ -119,19 +119,19 @@ def topographic_position(field, sys, level, value="z", connectivity="vertex") ->
 
 
 def ruggedness(field, sys, level, value="z", normalize: bool = False, squared: bool = True, connectivity="vertex") -> DataFrame:
-    """(pos, tri): the root of the summed (or, normalised, mean) squared differences; absolute ones if not squared."""
+    """(pos, tri): the root of the summed (or, normalised, mean) squared differences; absolute ones if not squared; 0 without neighbours."""
 
     def f(z, n):
         d = F.col("z") - n
         fold = F.avg if normalize else F.sum
-        return F.coalesce(F.sqrt(fold(d * d)) if squared else fold(F.abs(d)), F.lit(_NAN))
+        return F.coalesce(F.sqrt(fold(d * d)) if squared else fold(F.abs(d)), F.lit(0.0))
 
     return map_neighbors(field, sys, level, {"tri": f}, value, (), connectivity)
 
 
 def roughness(field, sys, level, value="z", connectivity="vertex") -> DataFrame:
-    """(pos, roughness): the largest absolute difference; NaN poisons."""
-    return map_neighbors(field, sys, level, {"roughness": lambda z, n: F.coalesce(F.max(F.abs(F.col("z") - n)), F.lit(_NAN))}, value, (), connectivity)
+    """(pos, roughness): the largest absolute difference; NaN poisons; 0 without neighbours."""
+    return map_neighbors(field, sys, level, {"roughness": lambda z, n: F.coalesce(F.max(F.abs(F.col("z") - n)), F.lit(0.0))}, value, (), connectivity)
 
 
 def prominence(field, sys, level, value="z", connectivity="vertex") -> DataFrame:
@@ -155,27 +155,37 @@ def _with_geometry(field: DataFrame, sys: str | GridSystem, level: int, value: s
     return pairs.filter("there").withColumn("m", F.pandas_udf(measure, "d double, e double, n double")("pos", "nbr")).select("pos", "z", "nbr", "zn", "slot", "m.*")
 
 
+def _for_all(field: DataFrame, made: DataFrame, missing: dict[str, float]) -> DataFrame:
+    """made (pos, ...) with a row for every cell of the field: cells without neighbours get what is missing."""
+    rows = field.select("pos").join(made.withColumn("_made", F.lit(True)), "pos", "left")
+    return rows.select("pos", *(F.when(F.col("_made"), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in missing.items()))
+
+
 def slope_mdg(field, sys, level, value="z", radius: float = 1.0, connectivity="vertex", downward: bool = False) -> DataFrame:
-    """(pos, slope): degrees of the steepest (or steepest downward) gradient to a neighbour; 0 in a pit."""
+    """(pos, slope): degrees of the steepest (or steepest downward) gradient to a neighbour; 0 in a pit or without neighbours."""
     g = (F.col("z") - F.col("zn")) / F.col("d")
     best = F.max(F.greatest(g, F.lit(0.0))) if downward else F.max(F.abs(g))
-    return _with_geometry(field, sys, level, value, connectivity, radius).groupBy("pos").agg(F.degrees(F.atan(best)).alias("slope"))
+    return _for_all(field, _with_geometry(field, sys, level, value, connectivity, radius).groupBy("pos").agg(F.degrees(F.atan(best)).alias("slope")), {"slope": 0.0})
 
 
 def plane_fit(field, sys, level, value="z", radius: float = 1.0, connectivity="vertex") -> DataFrame:
     """(pos, slope, aspect): least squares through the cell in its east-north frame; aspect clockwise from north,
-    pointing downhill."""
+    pointing downhill; NaN where the neighbours lie on a line or there are none."""
     dz = F.col("zn") - F.col("z")
     sums = _with_geometry(field, sys, level, value, connectivity, radius).groupBy("pos").agg(F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("e") * F.col("n")).alias("en"), F.sum(F.col("e") * dz).alias("ez"), F.sum(F.col("n") * dz).alias("nz"))
     det = F.col("ee") * F.col("nn") - F.col("en") * F.col("en")
+    # Neighbours on a line leave nothing but rounding.
+    det = F.when(det > 1e-12 * (F.col("ee") + F.col("nn")) * (F.col("ee") + F.col("nn")), det)
     gx = (F.col("ez") * F.col("nn") - F.col("nz") * F.col("en")) / det
     gy = (F.col("nz") * F.col("ee") - F.col("ez") * F.col("en")) / det
-    return sums.select("pos", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope"), F.pmod(F.degrees(F.atan2(-gx, -gy)), F.lit(360.0)).alias("aspect"))
+    nan = F.lit(_NAN)
+    fitted = sums.select("pos", F.coalesce(F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))), nan).alias("slope"), F.coalesce(F.pmod(F.degrees(F.atan2(-gx, -gy)), F.lit(360.0)), nan).alias("aspect"))
+    return _for_all(field, fitted, {"slope": _NAN, "aspect": _NAN})
 
 
 def curvature(field, sys, level, value="z", radius: float = 1.0, connectivity="vertex") -> DataFrame:
-    """(pos, curvature): four times the mean of difference over squared distance."""
-    return _with_geometry(field, sys, level, value, connectivity, radius).groupBy("pos").agg((4 * F.avg((F.col("zn") - F.col("z")) / (F.col("d") * F.col("d")))).alias("curvature"))
+    """(pos, curvature): four times the mean of difference over squared distance; NaN without neighbours."""
+    return _for_all(field, _with_geometry(field, sys, level, value, connectivity, radius).groupBy("pos").agg((4 * F.avg((F.col("zn") - F.col("z")) / (F.col("d") * F.col("d")))).alias("curvature")), {"curvature": _NAN})
 
 
 def flow_direction(field, sys, level, value="z", connectivity="vertex") -> DataFrame:
