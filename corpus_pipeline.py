@@ -28,12 +28,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8), once."""
-    groups = jaccard_join.near_duplicates(docs, width=5, percent=80)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # Rows that share an id: the first by content stays.
-        out = out.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r")).select("doc_id", "_r.*")
+    with_id = docs.filter("doc_id is not null")
+    if with_id.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        groups = jaccard_join.near_duplicates(docs, width=5, percent=80)
+        kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+        out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    else:
+        # An id may stand for unlike texts: rows are grouped by a 64-bit hash of id and text, and of several with the
+        # smallest id of a group the first by content stays.
+        keyed = with_id.withColumn("_key", F.xxhash64("doc_id", "text"))
+        groups = jaccard_join.near_duplicates(keyed, width=5, percent=80, id_col="_key").select("_key", F.col("component_id").alias("_group")).distinct()
+        least = keyed.select("doc_id", "_key").join(groups, "_key").groupBy("_group").agg(F.min("doc_id").alias("doc_id"))
+        rest = [c for c in docs.columns if c != "doc_id"]
+        out = keyed.join(groups, "_key").join(least, ["_group", "doc_id"], "left_semi").groupBy("_group").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(*rest)).alias("_r")).select("doc_id", "_r.*")
     return out.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -135,3 +135,13 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() == single.count() and {"n_tokens", "ids"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_keeps_unlike_texts_of_an_id(spark):
+    a, b, x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "abxy")
+    rows = [(3, a), (5, a), (5, b), (7, x), (8, x + " more"), (7, y), (9, y + " more"), (11, b + " on"), (12, ""), (12, None), (13, ""), (14, x + " z"), (14, x + " z"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_duplicate_filter(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(3, a), (5, b), (7, x), (7, y), (12, ""), (12, None), (13, ""), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
