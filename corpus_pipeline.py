@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessellon.llm import bpe, components, contamination, jaccard_join, pii, quality
 
-#: Documents that score less go.
+#: Documents that score less go. op9's decision is stricter (0.7); the README has the error rates of both.
 QUALITY_THRESHOLD = 0.5
 #: SQL can express neither the classifier nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
