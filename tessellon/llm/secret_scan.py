@@ -35,6 +35,8 @@ NAME = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\Z")
 VALUE = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX = re.compile(r"[0-9a-f]{24,}+")
+#: Keys in hex, in either case or both.
+HEX_KEY = [re.compile(r) for r in (r"[0-9a-f]{48,}+", r"[0-9A-F]{48,}+", r"[0-9A-Fa-f]{48,}+")]
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
@@ -101,8 +103,13 @@ def der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
     return out
 
 
+#: Object identifiers 1.2.840.113549.1.5 (PKCS #5) and 1.2.840.113549.1.12.1 (PKCS #12).
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that opens with an integer (a private key) or with an algorithm SEQUENCE and a BIT STRING (a public key)."""
+    """A SEQUENCE that opens with an integer (a private key), with an algorithm SEQUENCE and a BIT STRING (a public key), or
+    with a password-based algorithm and an OCTET STRING (an encrypted private key; other algorithms make a digest)."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = der_items(data)
@@ -112,7 +119,8 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in inner]
     private = len(tags) >= 2 and tags[0] == 0x02 and (tags.count(0x02) >= 6 or 0x04 in tags[1:3])
     public = tags[:2] == [0x30, 0x03] and any(t == 0x06 for t, _ in der_items(inner[0][1]) or [])
-    return private or public
+    encrypted = tags == [0x30, 0x04] and any(t == 0x06 and c.startswith(PASSWORD_BASED) for t, c in (der_items(inner[0][1]) or [])[:1])
+    return private or public or encrypted
 
 
 def is_openssh(data: bytes) -> bool:
@@ -157,9 +165,8 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             kind = "der" if is_der_key(data) else "openssh" if is_openssh(data) else None
             if kind:
                 out.append((kind, m.start(), m.end()))
-    for m in HEX.finditer(text):
-        if m.end() - m.start() >= 48 and (m.end() - m.start()) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append(("der", m.start(), m.end()))
+    runs = {m.span() for r in HEX_KEY for m in r.finditer(text)}
+    out += [("der", s, e) for s, e in sorted(runs) if (e - s) % 2 == 0 and is_der_key(bytes.fromhex(text[s:e]))]
     return out
 
 
@@ -171,10 +178,13 @@ def by_start(spans: list[tuple[str, int, int]]) -> str:
 _RUN = np.zeros(256, bool)
 _RUN[[b for b in range(128) if chr(b).isalnum() or chr(b) in "+/_-="]] = True
 SHORTEST = 20
+#: What opens a token or a PEM block, whose runs may be shorter.
+OPENING = re.compile(rb"eyJ|-----BEGIN")
 
 
 def worth_a_look(column: pa.Array) -> np.ndarray:
-    """Which rows have a sign of assignment or a run long enough for any other kind; the rest have no span."""
+    """Which rows have a sign of assignment, the opening of a token or PEM block, or a run long enough for any other kind;
+    the rest have no span."""
     buf, off = column_bytes(column)
     out = np.zeros(len(off) - 1, bool)
     for lo, hi, b, o in chunks(buf, off):
@@ -185,6 +195,7 @@ def worth_a_look(column: pa.Array) -> np.ndarray:
         hit = np.concatenate([start[end - start >= SHORTEST], np.flatnonzero((b == 0x3A) | (b == 0x3D))])
         # A run may span rows that touch; then every row it reaches is looked at.
         hit = np.concatenate([hit, end[end - start >= SHORTEST] - 1])
+        hit = np.concatenate([hit, np.array([m.start() for m in OPENING.finditer(b)], np.int64)])
         out[lo + np.unique(np.searchsorted(o, hit, "right") - 1)] = True
         for s, e in zip(start[end - start >= SHORTEST], end[end - start >= SHORTEST], strict=True):
             out[lo + np.searchsorted(o, s, "right") - 1 : lo + np.searchsorted(o, e - 1, "right")] = True

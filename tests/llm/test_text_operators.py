@@ -1,5 +1,6 @@
 """PII, secrets, BPE, decontamination, quality and formatting against brute force, on small fixtures."""
 
+import base64
 import hashlib
 import re
 import string
@@ -198,3 +199,32 @@ def test_same_as_sql(spark, sf, name):
     from tests.test_queries import check
 
     check(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_added_secrets_of_any_shape(spark):
+    """Short runs, upper-case and mixed hex, encrypted keys; a digest is none of them."""
+    item = lambda tag, body: bytes([tag, *([len(body)] if len(body) < 128 else [0x81, len(body)])]) + body
+    algorithm = lambda oid: item(0x30, item(0x06, bytes.fromhex(oid)) + item(0x05, b""))
+    key = item(0x30, item(0x02, b"\x01") + item(0x04, bytes(range(32))))
+    closed = item(0x30, algorithm("2a864886f70d01050d") + item(0x04, bytes(range(48))))
+    digest = item(0x30, algorithm("608648016503040201") + item(0x04, bytes(range(32))))
+    small = item(0x30, item(0x02, b"\x01") + item(0x04, bytes(range(23))))
+    wrap = lambda data, n: "\n".join(re.findall(f".{{1,{n}}}", base64.b64encode(data).decode()))
+    pem = lambda name, data, n: f"-----BEGIN {name}-----\n{wrap(data, n)}\n-----END {name}-----"
+    mixed = "".join(c.upper() if i % 2 else c for i, c in enumerate(key.hex()))
+    texts = [
+        ("jwt", "eyJhbGciOiJub25lIn0.eyJzdWIiOiIxIn0."),
+        ("pem", pem("PRIVATE KEY", small, 16)),
+        ("der", key.hex().upper()),
+        ("der", mixed),
+        ("der", key.hex()),
+        ("pem", pem("ENCRYPTED PRIVATE KEY", closed, 64)),
+        ("der", base64.b64encode(closed).decode()),
+        (None, digest.hex().upper()),
+        (None, "plain words"),
+    ]
+    docs = spark.createDataFrame([(i, f"see {t} end") for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).collect()}
+    for i, (kind, t) in enumerate(texts):
+        assert (f"{kind}:4:{4 + len(t)}" in got[i].split(",")) if kind else "der" not in got[i], (i, got[i])
+    assert "=" not in texts[1][1] and ":" not in texts[1][1]
