@@ -312,7 +312,8 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
             # The leader of equal fragments may belong to another id; the first of ours stands for it here.
             _, which, frag = np.unique(lead[own], return_index=True, return_inverse=True)
             kept = own[which]
-            blob = _pack(size[kept].astype(np.uint8), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
+            # A fragment has less than twice the length.
+            blob = _pack(size[kept].astype(np.min_scalar_type(2 * length)), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
             out.append((q, None, blob))
         for lo in range(0, len(out), 4096):
             c = list(zip(*out[lo : lo + 4096], strict=True))

@@ -145,3 +145,22 @@ def test_pipeline_keeps_unlike_texts_of_an_id(spark):
     assert out.columns == docs.columns
     want = [(3, a), (5, b), (7, x), (7, y), (12, ""), (12, None), (13, ""), (None, a)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_suffix_dedup_of_long_strings(spark):
+    """Fragments of more than 255 bytes."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(500)]
+    passage = " ".join(rng.choices(words, k=90))
+    rows = [(i, f"{' '.join(rng.choices(words, k=20))} {passage[rng.randint(0, 150) :]} {i}") for i in range(12)] + [(20, "z" * 900), (21, "z" * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for length in (140, 200):
+        first = {}
+        for i, t in rows:
+            for p in range(len(t) - length + 1):
+                first.setdefault(t[p : p + length], i)
+        want = {}
+        for i, t in rows:
+            gone = {q for p in range(len(t) - length + 1) if first[t[p : p + length]] < i for q in range(p, p + length)}
+            want[i] = (len(gone), hashlib.sha256("".join(c for q, c in enumerate(t) if q not in gone).encode()).hexdigest())
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicate(df, length).collect()} == want
