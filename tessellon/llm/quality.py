@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words and structure statistics; no metadata is read.
 
 score = w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2], through a logistic link; the square
 identity makes it linear in the features present. Words are hashed into DIMS slots with damped, normalised counts; each
