@@ -1,20 +1,24 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
-Documents whose shingle sets are equal form a class (by size and a 64-bit sum of the hashes); only classes are joined.
+Documents whose shingle sets are equal form a class; only classes are joined. A class is named by a 64-bit sum of its
+hashes; a second sum shows when two sets share a name, and all is then named anew with another seed.
 
 * Every set is put in one global order of shingles, frequent ones last (frequencies from a table of hashed counters of
   fixed size over all documents). Two sets that reach the threshold share a shingle among the first
-  n - ceil(t n) + 1 of each; a tile is the classes that share such a shingle. Nothing is lost by this.
-* A small tile gives its pairs. A large one gives a star around a member of its own choosing; when the links so found
-  have joined most of it to components, its members outside the tile's main component meet the others in blocks.
-  Tiles with equal members count once. No group is expanded into all its pairs.
-* A pair must lie in the size band, then its bitmaps must allow enough overlap (bits of one signature that the other
-  lacks bound the overlap from above), then the sorted hash arrays are intersected exactly. Pairs whose ends are
-  already joined need no intersection: first every class tries its most alike partner, later only pairs across components are read.
+  n - ceil(t n) + 1 of each, and their sizes lie in the same or in neighbouring bands of ratio t. A tile is a shingle
+  and a band: the classes with that shingle up front whose size lies in the band, and as visitors those of the next.
+* A tile gives its pairs, as far as sizes and places in the order leave room, when they are few for every member. Larger
+  tiles that share members are laid together and cut into blocks of bounded size, within which all is settled; then,
+  only where there are several blocks, members outside the main component meet the other blocks. A shingle so
+  frequent that its tile would not fit a task skips the tiles' task and goes to the blocks directly.
+* Bitmaps bound the overlap of a pair from above (bits of one signature that the other lacks); what they let pass is
+  decided by intersecting the sorted hash arrays, which are computed once for the classes that need them. A block gives
+  at most one link for each component that it joins, not its pairs.
 
 Defined cases: null or empty texts, or texts without words, have the empty set and link with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows and ids share a class; rows with a null id take no part in links
-and their component is null; an empty table gives none.
+words than a shingle is one shingle; repeated rows share a class, and rows of one id count as linked; rows
+with a null id take no part in links and their component is null; an empty table gives none; other columns of any name
+are left alone. Words are told apart by 64-bit hashes (textbytes.block_hash).
 """
 
 from __future__ import annotations
@@ -30,11 +34,16 @@ from pyspark.sql import functions as F
 from tessellon.llm.components import combine_slices, components, cut, id_filter, pruned
 from tessellon.llm.textbytes import NONSPACE, chunks, column_bytes, distinct, mix, shingles, words
 
-#: Counters of the frequency table, bits of a signature, members of a tile that gives all its pairs, members of a block.
-COUNTERS, SIGNATURE_BITS, SMALL_TILE, BLOCK = 1 << 18, 2048, 24, 2048
-#: Bytes of text whose prefixes one bucket of postings should hold.
-BUCKET_BYTES = 48 << 20
+#: Counters of the frequency table, bits of a signature, members of a tile that gives its pairs itself.
+COUNTERS, SIGNATURE_BITS, SMALL_TILE = 1 << 18, 2048, 12
+#: Members of a block, and hashes of a block.
+BLOCK, BLOCK_HASHES = 2048, 2 << 20
+#: Bytes of text whose prefixes one bucket of postings should hold, and postings that a task gathers before it sends.
+BUCKET_BYTES, HELD = 48 << 20, 3 << 20
+#: A shingle whose counter is above both this and 8 times the mean skips the tiles' task.
+HOT = 1 << 16
 _SLICES = 4
+_SEEDS = (0xA5A5A5A5A5A5A5A5, 0xC3A5C85C97CB3127)
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,13 +54,13 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     return row, value, np.bincount(row, minlength=len(off) - 1)
 
 
-def class_ids(row: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
+def class_ids(value: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit name of every row's set."""
     out = np.zeros(len(size), np.uint64)
     some = np.flatnonzero(size > 0)
     if len(some):
         with np.errstate(over="ignore"):
-            out[some] = mix(np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.cumsum(size)[some] - size[some]) + size[some].astype(np.uint64))
+            out[some] = mix(np.add.reduceat(mix(value ^ np.uint64(seed)), np.cumsum(size)[some] - size[some]) + size[some].astype(np.uint64))
     return out.view(np.int64)
 
 
@@ -70,120 +79,151 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -((-percent * n) // 100) + 1
 
 
-def _describe(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: a row (id, class, n, bytes, signature) for every row; kind 1: hashed shingle counters by slice."""
+def band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes that can link are at most one band apart: the bands' edges are e, floor(100 e / percent) + 1, ..."""
+    edges = [1]
+    while edges[-1] <= n.max(initial=0):
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.searchsorted(edges, n, "right") - 1
+
+
+def _describe(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """kind 0: a row (id, class, second name, n, bytes, signature) for every row; kind 1: shingle counters by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.uint32)
-        names = ["kind", "id", "cls", "n", "bytes", "data"]
+        names = ["kind", "id", "cls", "other", "n", "bytes", "data"]
         for b in batches:
             buf, off = column_bytes(b.column(1))
             for lo, hi, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
                 counters += np.bincount((value >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32)
                 k = hi - lo
-                packed = signatures(row, value, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(k, np.int32)), b.column(0).slice(lo, k), pa.array(class_ids(row, value, size)), pa.array(size, pa.int64()), pa.array(np.diff(co), pa.int64()), pa.array([p.tobytes() for p in packed], pa.binary())],
-                    names=names,
-                )
+                one, two = (pa.array(class_ids(value, size, s ^ seed)) for s in _SEEDS)
+                data = pa.array([p.tobytes() for p in signatures(row, value, k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0).slice(lo, k), one, two, pa.array(size, pa.int64()), pa.array(np.diff(co), pa.int64()), data], names=names)
         if counters.any():
             parts = counters.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(_SLICES, np.int32)), pa.array([None] * _SLICES, pa.int64()), pa.array(range(_SLICES), pa.int64()), pa.array([0] * _SLICES, pa.int64()), pa.array([0] * _SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=names,
-            )
+            zero = pa.array([0] * _SLICES, pa.int64())
+            data = pa.array([p.tobytes() for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(_SLICES, np.int32)), pa.array([None] * _SLICES, pa.int64()), pa.array(range(_SLICES), pa.int64()), zero, zero, zero, data], names=names)
+
+    return docs.mapInArrow(run, "kind int, id long, cls long, other long, n long, bytes long, data binary")
 
-    return docs.mapInArrow(run, "kind int, id long, cls long, n long, bytes long, data binary")
 
+def _postings(docs: DataFrame, width: int, percent: int, seed: int, shared, buckets: int) -> DataFrame:
+    """(bucket, keys, members, classes, sizes): prefix shingles with their places, packed by bucket of the shingle's hash.
+
+    Hot shingles go to buckets from `buckets` on, dealt by class.
+    """
 
-def _postings(docs: DataFrame, width: int, percent: int, level, buckets: int) -> DataFrame:
-    """(bucket, keys, members, classes, sizes): prefix shingles of a batch, packed by bucket of the shingle's hash."""
+    def pack(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        begun = np.cumsum([0] + [len(h[3]) for h in held])
+        key, place, hot = (np.concatenate([h[k] for h in held]) for k in (0, 2, 5))
+        member = np.concatenate([h[1] + b for h, b in zip(held, begun, strict=False)])
+        cls, n = (np.concatenate([h[k] for h in held]) for k in (3, 4))
+        # Copies of a set are told apart by nothing that matters here: the first of them stands for all.
+        _, first, same = np.unique(cls, return_index=True, return_inverse=True)
+        keep = first[same][member] == member
+        key, member, place, hot = key[keep], member[keep], place[keep], hot[keep]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        bucket[hot] = buckets + (cls[member[hot]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        key, member, place, bucket = key[order], member[order], place[order], bucket[order]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        for lo in range(0, len(at), 512):
+            out = []
+            for s, e in zip(at[lo : lo + 512].tolist(), [*at[lo + 1 : lo + 513].tolist(), len(key)], strict=False):
+                used, local = np.unique(member[s:e], return_inverse=True)
+                local = local.astype("<u2" if len(used) <= 1 << 16 else "<u4")
+                where = np.minimum(place[s:e], 65535).astype("<u2")
+                out.append((int(bucket[s]), key[s:e].astype("<u8").tobytes(), local.tobytes() + where.tobytes(), cls[used].tobytes(), n[used].astype("<u4").tobytes()))
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = level.value
+        levels, often = shared.value
+        held, count = [], 0
         for b in batches:
-            keys, members, classes, sizes, begun = [], [], [], [], 0
             buf, off = column_bytes(b.column(0))
             for _, _, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
-                cls = class_ids(row, value, size)
-                rank = levels[(value >> np.uint64(40)).astype(np.int64) % COUNTERS]
-                order = np.lexsort((value, rank, row))
-                value, row = value[order], row[order]
+                slot = (value >> np.uint64(40)).astype(np.int64) % COUNTERS
+                order = np.lexsort((value, levels[slot], row))
+                value, row, slot = value[order], row[order], slot[order]
                 place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 keep = place < prefix_length(size, percent)[row]
-                keys.append(value[keep])
-                members.append(row[keep] + begun)
-                classes.append(cls)
-                sizes.append(size)
-                begun += len(size)
-            if not keys:
-                continue
-            key, member, cls, n = (np.concatenate(x) for x in (keys, members, classes, sizes))
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((key, bucket))
-            key, member, bucket = key[order], member[order], bucket[order]
-            at = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                s, e = at[k], at[k + 1]
-                if s < e:
-                    used, local = np.unique(member[s:e], return_inverse=True)
-                    out.append((k, (key[s:e] >> np.uint64(24)).astype("<u4").tobytes() + ((key[s:e] >> np.uint64(56)).astype("u1")).tobytes(), local.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), cls[used].tobytes(), n[used].astype("<u4").tobytes()))
-            columns = list(zip(*out, strict=True))
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes", "sizes"])
+                held.append((value[keep], row[keep], place[keep], class_ids(value, size, _SEEDS[0] ^ seed), size, often[slot[keep]]))
+                count += int(keep.sum())
+                if count > HELD:
+                    yield from pack(held)
+                    held, count = [], 0
+        if count:
+            yield from pack(held)
 
     return docs.mapInArrow(run, "bucket int, keys binary, members binary, classes binary, sizes binary")
 
 
-def _tile_bucket(percent: int):
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, class, n, place) of every posting of a bucket."""
+    out = []
+    for k, m, c, z in zip(group["keys"], group["members"], group["classes"], group["sizes"], strict=True):
+        key, own = np.frombuffer(k, "<u8"), np.frombuffer(c, np.int64)
+        wide = "<u2" if len(own) <= 1 << 16 else "<u4"
+        at = np.frombuffer(m, wide, len(key))
+        place = np.frombuffer(m, "<u2", len(key), at.nbytes)
+        out.append((key, own[at], np.frombuffer(z, "<u4").astype(np.int32)[at], place))
+    key, cls, n, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    return key, cls, n.astype(np.int64), place.astype(np.int64)
+
+
+def _tile_bucket(percent: int, buckets: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """kind 0: candidate pairs a < b in each other's size band; kind 1: (tile, class) of large tiles."""
-        keys, cls, n = [], [], []
-        for k, m, c, z in zip(group["keys"], group["members"], group["classes"], group["sizes"], strict=True):
-            count = len(k) // 5
-            own = np.frombuffer(c, np.int64)
-            at = np.frombuffer(m, "<u2" if len(own) <= 1 << 16 else "<u4")
-            keys.append(np.frombuffer(k, "<u4", count).astype(np.uint64) | np.frombuffer(k, "u1", count, 4 * count).astype(np.uint64) << np.uint64(32))
-            cls.append(own[at])
-            n.append(np.frombuffer(z, "<u4").astype(np.int64)[at])
-        keys, cls, n = np.concatenate(keys), np.concatenate(cls), np.concatenate(n)
-        order = np.lexsort((cls, n, keys))
-        keys, cls, n = keys[order], cls[order], n[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
-        keys, cls, n = keys[new], cls[new], n[new]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        """kind 0: candidate pairs a < b; kind 1: (tile, class) of large tiles."""
+        keys, cls, n, place = _unpacked(group)
+        order = np.lexsort((cls, keys))
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (cls[order][1:] != cls[order][:-1])
+        order = order[new]
+        keys, cls, n, place = keys[order], cls[order], n[order], place[order]
+        if key[0] >= buckets:
+            return pd.DataFrame({"kind": np.ones(len(keys), np.int32), "a": mix(keys).view(np.int64), "b": cls})
+        # Keys of a single class need no tile.
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        several = np.repeat(np.diff(np.append(at, len(keys))) > 1, np.diff(np.append(at, len(keys))))
+        keys, cls, n, place = keys[several], cls[several], n[several], place[several]
+        empty = np.zeros(0, np.int64)
+        if not len(keys):
+            return pd.DataFrame({"kind": empty.astype(np.int32), "a": empty, "b": empty})
+        # Tiles: a class is at home in its own band's and a visitor (listed behind) in that of the band below.
+        own = band(n, percent)
+        tile, home = np.concatenate([own, own - 1]), np.repeat([True, False], len(own))
+        keys, cls, n, place = (np.tile(x, 2) for x in (keys, cls, n, place))
+        order = np.lexsort((cls, ~home, tile, keys))
+        keys, cls, n, place, tile, home = (x[order] for x in (keys, cls, n, place, tile, home))
+        at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (tile[1:] != tile[:-1])))
         size = np.diff(np.append(at, len(keys)))
-        name = np.zeros(0, np.uint64)
-        if len(at):
-            with np.errstate(over="ignore"):
-                name = mix(np.add.reduceat(mix(cls.view(np.uint64)), at) + size.astype(np.uint64))
-        _, once = np.unique(name, return_index=True)
-        once = once[size[once] >= 2]
-        a, b, big_tile, big_cls = [], [], [], []
-
-        def put(x, y, nx, ny):
-            band = np.minimum(nx, ny) * (100 + percent) >= percent * (nx + ny)
-            a.append(np.minimum(x, y)[band])
-            b.append(np.maximum(x, y)[band])
-
-        for g in np.unique(size[once[size[once] <= SMALL_TILE]]):
-            at_g = at[once[size[once] == g]][:, None] + np.arange(g)
+        at, size = at[home[at] & (size > 1)], size[home[at] & (size > 1)]
+        a, b, tiles, members = [], [], [], []
+        for g in np.unique(size[size <= SMALL_TILE]):
+            x = at[size == g][:, None] + np.arange(g)
             i, j = np.triu_indices(g, 1)
-            put(*(x.ravel() for x in (cls[at_g][:, i], cls[at_g][:, j], n[at_g][:, i], n[at_g][:, j])))
-        for t in once[size[once] > SMALL_TILE]:
-            tile, own = cls[at[t] : at[t] + size[t]], n[at[t] : at[t] + size[t]]
-            p = int(np.argmin(mix(tile.view(np.uint64) ^ name[t])))
-            rest = np.append(np.arange(p), np.arange(p + 1, len(tile)))
-            put(np.full(len(rest), tile[p]), tile[rest], np.full(len(rest), own[p]), own[rest])
-            big_tile.append(np.full(size[t], name[t].view(np.int64)))
-            big_cls.append(tile)
-        a, b, tiles, members = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, big_tile, big_cls))
-        row, other = distinct(a, b)
-        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(row), len(tiles)]), "a": np.concatenate([row, tiles]), "b": np.concatenate([other, members])})
+            x, y = x[:, i].ravel(), x[:, j].ravel()
+            # In the tile of the first shingle that both share, the rest of the shorter remainder bounds the overlap.
+            ok = home[x] & (np.minimum(n[x] - place[x], n[y] - place[y]) >= required(n[x], n[y], percent))
+            a.append(np.minimum(cls[x], cls[y])[ok])
+            b.append(np.maximum(cls[x], cls[y])[ok])
+        large = size > SMALL_TILE
+        if large.any():
+            which = np.repeat(np.arange(int(large.sum())), size[large])
+            spot = np.arange(len(which)) - np.repeat(np.cumsum(size[large]) - size[large], size[large]) + np.repeat(at[large], size[large])
+            # Tiles of equal members count once.
+            named = np.add.reduceat(mix(cls[spot].view(np.uint64)), np.flatnonzero(np.append(True, which[1:] != which[:-1])))
+            tiles.append(mix(named)[which].view(np.int64))
+            members.append(cls[spot])
+        a, b = distinct(*(np.concatenate(x) if x else empty for x in (a, b)))
+        tiles, members = distinct(*(np.concatenate(x) if x else empty for x in (tiles, members)))
+        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(tiles)]), "a": np.concatenate([a, tiles]), "b": np.concatenate([b, members])})
 
     return run
 
@@ -205,125 +245,203 @@ def _words64(column: pa.Array) -> np.ndarray:
 
 
 def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that band and bitmaps allow, with the ids that stand for their classes and the share of room left."""
+    """The pairs (a, b) that band and bitmaps allow, with the ids that stand for their classes."""
     one = classes.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("data").alias("sa"))
     two = classes.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("data").alias("sb"))
-    joined = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "ia", "ib", "na", "nb", "sa", "sb")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                na, nb = x["na"].to_numpy(), x["nb"].to_numpy()
-                room = bitmap_room(na, nb, _words64(x["sa"]), _words64(x["sb"]), percent)
-                share = pa.array(room / (na + nb))
-                yield pa.RecordBatch.from_arrays([x["a"], x["b"], x["ia"], x["ib"], share], names=["a", "b", "ia", "ib", "room"]).filter(pa.array(room >= 0))
+                room = bitmap_room(x["na"].to_numpy(), x["nb"].to_numpy(), _words64(x["sa"]), _words64(x["sb"]), percent)
+                yield x.select(["a", "b", "ia", "ib"]).filter(pa.array(room >= 0))
+
+    return joined.mapInArrow(run, "a long, b long, ia long, ib long")
+
+
+def _arrays(docs: DataFrame, needed: DataFrame, width: int, seed: int) -> DataFrame:
+    """(cls, hashes): the sorted hash array of the classes for which the needed ids stand, and perhaps of a few more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = column_bytes(b.column(1))
+            for _, _, cb, co in chunks(buf, off):
+                row, value, size = shingle_sets(cb, co, width)
+                some = size > 0
+                end = np.cumsum(size)
+                data = [value[e - n : e].tobytes() for e, n in zip(end[some].tolist(), size[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(value, size, _SEEDS[0] ^ seed)[some]), pa.array(data, pa.binary())], names=["cls", "hashes"])
 
-    return joined.mapInArrow(run, "a long, b long, ia long, ib long, room double")
+    return pruned(docs.select("id", "text"), "id", id_filter(needed)).mapInArrow(run, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (ia, ib) that link, by intersecting the sorted hash arrays of both texts."""
-    pairs = pairs.select("ia", "ib")
-    some = id_filter(pairs.select(F.explode(F.array("ia", "ib")).alias("id")))
-    # A class is named by its smallest id; should that id stand in several rows, every text of it is tried.
-    texts = pruned(docs.select("id", "text"), "id", some).filter(F.col("text").isNotNull())
-    joined = pairs.join(texts.select(F.col("id").alias("ib"), F.col("text").alias("tb")), "ib").join(texts.select(F.col("id").alias("ia"), F.col("text").alias("ta")), "ia").select("ia", "ib", "ta", "tb")
+def _exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting their sorted hash arrays; one array travels to the other's place."""
+    one = arrays.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
+    two = arrays.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                x = whole.slice(lo, 256)
-                sets = []
-                for c in ("ta", "tb"):
-                    # Pairs come grouped: a text that repeats its neighbour's is not cut again.
-                    texts = x[c].to_pylist()
-                    fresh = [i for i, t in enumerate(texts) if i == 0 or t != texts[i - 1]]
-                    row, value, size = shingle_sets(*column_bytes(pa.array([texts[i] for i in fresh], pa.string())), width)
-                    own = np.split(value, np.cumsum(size)[:-1])
-                    place = np.cumsum([i == 0 or t != texts[i - 1] for i, t in enumerate(texts)]) - 1
-                    sets.append([own[p] for p in place])
-                ok = []
-                for p, q in zip(*sets, strict=True):
-                    if not len(p) or not len(q):
-                        ok.append(False)
-                        continue
-                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    ok.append(int((q[at] == p).sum()) >= required(len(p), len(q), percent))
-                yield x.select(["ia", "ib"]).filter(pa.array(ok))
-
-    return joined.mapInArrow(run, "ia long, ib long")
-
-
-def _across(tiles: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large tiles whose ends are in different components, as far as band and bitmaps allow.
-
-    In each tile the members outside its main component meet, block by block, all members of other components.
+        for x in batches:
+            ok = []
+            for ha, hb in zip(x["ha"], x["hb"], strict=True):
+                p, q = np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64)
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                ok.append(int((q[at] == p).sum()) >= required(len(p), len(q), percent))
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def settle(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray], comp: np.ndarray, lead: np.ndarray, home: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of a block's members: every lead meets all others (not visitor and visitor).
+
+    Sizes, then bitmaps, then exact intersection decide; a pair whose components are joined already is left out.
     """
-    named = tiles.join(classes.select("cls", "id", "n", "data"), "cls").join(labels, F.col("id") == labels["node"], "left").select("tile", "cls", "id", "n", "data", F.coalesce("label", "id").alias("comp"))
-    count = named.groupBy("tile", "comp").agg(F.count("*").alias("k"))
-    main = count.groupBy("tile").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("g")).filter(F.col("m.k") < F.col("g")).select("tile", F.col("m.comp").alias("main"), (F.floor((F.col("g") - 1) / BLOCK) + 1).alias("blocks"), (F.floor((F.col("g") - F.col("m.k") - 1) / BLOCK) + 1).alias("outer"))
-    members = named.join(main, "tile").withColumn("out", F.col("comp") != F.col("main"))
+    order = np.argsort(n, kind="stable")
+    cls, n, bits, comp, lead, home = cls[order], n[order], bits[order], comp[order], lead[order], home[order]
+    hashes = [hashes[k] for k in order]
+    _, code = np.unique(np.concatenate(hashes), return_inverse=True)
+    begin = np.cumsum(n) - n
+    mark = np.zeros(int(code.max()) + 1, np.int32)
+    _, root = np.unique(comp, return_inverse=True)
+    a, b = [], []
+    for r in np.flatnonzero(lead).tolist():
+        lo, hi = np.searchsorted(n, [-(-n[r] * percent // 100), n[r] * 100 // percent + 1])
+        ok = root[lo:hi] != root[r]
+        if not home[r]:
+            ok &= home[lo:hi]
+        # Two leads meet once.
+        ok[: max(0, r - lo)] &= ~lead[lo:r]
+        at = lo + np.flatnonzero(ok)
+        if not len(at):
+            continue
+        at = at[bitmap_room(np.full(len(at), n[r]), n[at], np.broadcast_to(bits[r], (len(at), bits.shape[1])), bits[at], percent) >= 0]
+        if not len(at):
+            continue
+        own = code[begin[r] : begin[r] + n[r]]
+        mark[own] = 1
+        overlap = np.empty(len(at), np.int64)
+        for s in range(0, len(at), 256):
+            part = at[s : s + 256]
+            before = np.cumsum(n[part]) - n[part]
+            spot = np.arange(int(n[part].sum())) + np.repeat(begin[part] - before, n[part])
+            overlap[s : s + 256] = np.add.reduceat(mark[code[spot]], before)
+        mark[own] = 0
+        at = at[overlap >= required(n[r], n[at], percent)]
+        _, one = np.unique(root[at], return_index=True)
+        for other in at[one].tolist():
+            a.append(cls[r])
+            b.append(cls[other])
+            root[root == root[other]] = root[r]
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _settled(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    # A member may have come twice, as lead and as one of the others, or by its own block and as the pivot.
+    group = group.sort_values("lead", ascending=False, kind="stable").drop_duplicates("cls")
+    if len(group) < 2:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    bits = np.frombuffer(b"".join(group["data"]), np.uint64).reshape(len(group), -1)
+    hashes = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
+    a, b = settle(*(group[c].to_numpy() for c in ("cls", "n")), bits, hashes, *(group[c].to_numpy() for c in ("comp", "lead", "home")), percent)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _crowds(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(crowd, band, cls, id, n, data, home, blocks): tiles that share members laid together, and cut into bands anew."""
+    labels = components(tiles.select(F.col("a"), F.col("b")))
+    joined = labels.select(F.col("node").alias("cls"), F.col("label").alias("crowd")).join(classes.select("cls", "id", "n", "data"), "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                own = band(x["n"].to_numpy(), percent)
+                for step in (0, 1):
+                    yield pa.RecordBatch.from_arrays([x["crowd"], pa.array((own - step).astype(np.int32)), x["cls"], x["id"], x["n"], x["data"], pa.array(np.full(len(own), step == 0))], names=["crowd", "band", "cls", "id", "n", "data", "home"])
+
+    laid = cut(joined.select("crowd", "cls", "id", "n", "data").mapInArrow(run, "crowd long, band int, cls long, id long, n long, data binary, home boolean"))
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    # A band without members at home has nothing to meet.
+    size = laid.groupBy("crowd", "band").agg(many.alias("blocks"), F.max("home").alias("some"), F.count("*").alias("k")).filter("some and k > 1").select("crowd", "band", "blocks")
+    return laid.join(size, ["crowd", "band"])
+
+
+_MEMBER = ("cls", "n", "data", "hashes", "comp", "lead", "home")
+
+
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Links within each block, which also holds the crowd's pivot, so that a crowd's blocks hang together."""
+    alone = members.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("comp", F.col("cls")).withColumn("lead", F.lit(True))
+    pivot = members.filter("blocks > 1").groupBy("crowd", "band").agg(F.min_by(F.struct("cls", "n", "data", "hashes", "home", "blocks"), F.struct(~F.col("home"), F.xxhash64("cls", F.lit(7)))).alias("p"))
+    pivot = pivot.select("crowd", "band", "p.*", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("i")).withColumn("comp", F.col("cls")).withColumn("lead", F.lit(True))
+    columns = ["crowd", "band", "i", *_MEMBER]
+    return alone.select(*columns).union(pivot.select(*columns)).groupBy("crowd", "band", "i").applyInPandas(lambda group: _settled(group, percent), "a long, b long")
+
+
+def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks: members outside a crowd's main component meet, block by block, all of other components."""
+    named = members.filter("blocks > 1").join(labels, F.col("cls") == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls"))
+    count = named.groupBy("crowd", "band", "comp").agg(F.count("*").alias("k"))
+    main = count.groupBy("crowd", "band").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("g")).filter(F.col("m.k") < F.col("g"))
+    main = main.select("crowd", "band", F.col("m.comp").alias("main"), ((F.col("g") - F.col("m.k")) / F.col("g")).alias("share"))
+    dealt = named.join(main, ["crowd", "band"]).withColumn("outer", F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("share"))).cast("int"))
     home = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     away = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("outer")).cast("int")
-    inner = members.select("tile", home.alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer").cast("int") - 1)).alias("j"), F.lit(False).alias("lead"), "id", "cls", "n", "comp", "data")
-    outer = members.filter("out").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("i"), away.alias("j"), F.lit(True).alias("lead"), "id", "cls", "n", "comp", "data")
-
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lead, rest = group[group["lead"]], group[~group["lead"]].sort_values("n", kind="stable")
-        out = []
-        n, comp, ids, cls = (rest[c].to_numpy() for c in ("n", "comp", "id", "cls"))
-        bits = np.frombuffer(b"".join(rest["data"]), np.uint64).reshape(len(rest), -1)
-        for r in lead.itertuples():
-            lo, hi = np.searchsorted(n, [-(-r.n * percent // 100), r.n * 100 // percent + 1])
-            at = lo + np.flatnonzero(comp[lo:hi] != r.comp)
-            if len(at):
-                own = np.broadcast_to(np.frombuffer(r.data, np.uint64), (len(at), bits.shape[1]))
-                at = at[bitmap_room(np.full(len(at), r.n), n[at], own, bits[at], percent) >= 0]
-                out.append((np.minimum(ids[at], r.id), np.maximum(ids[at], r.id)))
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        a, b = distinct(a, b)
-        return pd.DataFrame({"ia": a, "ib": b})
-
-    return inner.union(outer).groupBy("tile", "i", "j").applyInPandas(meet, "ia long, ib long").distinct()
+    rest = dealt.withColumn("i", home).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("lead", F.lit(False))
+    lead = dealt.filter("comp <> main").withColumn("j", away).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lead", F.lit(True))
+    columns = ["crowd", "band", "i", "j", *_MEMBER]
+    return lead.select(*columns).union(rest.select(*columns)).groupBy("crowd", "band", "i", "j").applyInPandas(lambda group: _settled(group, percent), "a long, b long")
+
+
+def _described(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """What _describe gives, the classes (cls, id, n, data), and the seed with which no two sets share a name."""
+    seed = 0
+    while True:
+        described = cut(_describe(rows, width, seed))
+        members = described.filter("kind = 0 and n > 0 and id is not null")
+        classes = cut(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data"), F.min("other").alias("least"), F.max("other").alias("most")))
+        if classes.filter("least <> most").isEmpty():
+            return described, classes, seed
+        seed += 1
+
+
+def _one_document(table: DataFrame) -> DataFrame:
+    """Links between the classes that one id stands in."""
+    own = table.filter("n > 0 and id is not null")
+    several = own.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("most")).filter("a <> most").select("id", "a")
+    return own.join(several, "id").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs; component_id is the smallest id reachable by links."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = cut(_describe(rows, width))
-    table = described.filter("kind = 0").select("id", "cls", "n", "bytes", "data")
-    members = table.filter("n > 0 and id is not null")
-    classes = cut(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data")))
+    described, classes, seed = _described(rows, width)
+    table = described.filter("kind = 0").select("id", "cls", "n", "bytes")
     counts = combine_slices(described.filter("kind = 1").select(F.col("cls").cast("int").alias("slice"), "data"), "uint32", "sum").astype(np.float64)
     if not len(counts):
         counts = np.zeros(COUNTERS)
     # Only the order of magnitude above the common noise counts, so that rare shingles stay in hash order.
     levels = np.floor(np.log2(counts / max(1.0, counts.mean()) + 1)).astype(np.int8)
+    often = (counts > HOT) & (counts > 8 * counts.mean())
     buckets = max(8, -(-int(table.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-    found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket(percent), "kind int, a long, b long"))
-    pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent).select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), "room"))
-    # First the most alike partner of every class, then whatever lies across the components found.
-    ends = pairs.select("ia", "ib", "room").union(pairs.select(F.col("ib").alias("ia"), F.col("ia").alias("ib"), "room"))
-    best = ends.groupBy("ib").agg(F.max_by("ia", F.struct("room", "ia")).alias("ia"))
-    best = best.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib")).distinct()
-    first = _exact(best, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    first = cut(first)
-    labels = components(first)
-    links = first
-    tiles = found.filter("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("cls")).distinct()
-    one = labels.select(F.col("node").alias("ia"), F.col("label").alias("la"))
-    two = labels.select(F.col("node").alias("ib"), F.col("label").alias("lb"))
-    apart = pairs.join(one, "ia", "left").join(two, "ib", "left").filter(F.coalesce("la", "ia") != F.coalesce("lb", "ib")).select("ia", "ib")
-    second = cut(_exact(apart, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    if not second.isEmpty():
-        links = links.union(second)
-        labels = components(links)
-    left = cut(_across(tiles, labels, classes, percent))
-    third = cut(_exact(left, rows, width, percent).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    if not third.isEmpty():
-        labels = components(links.union(third))
-    named = classes.select("cls", F.col("id").alias("node")).join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("component"))
+    shared = docs.sparkSession.sparkContext.broadcast((levels, often))
+    found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, seed, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket(percent, buckets), "kind int, a long, b long"))
+    pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent))
+    crowds = cut(_crowds(found.filter("kind = 1"), classes, percent))
+    needed = pairs.select(F.explode(F.array("ia", "ib")).alias("id")).union(crowds.select("id"))
+    arrays = cut(_arrays(rows, needed, width, seed))
+    members = crowds.join(arrays, "cls")
+    links = cut(_exact(pairs, arrays, percent).union(_within(members, percent)).union(_one_document(table)))
+    labels = components(links)
+    if not crowds.filter("blocks > 1").isEmpty():
+        further = cut(_across(members, labels, percent))
+        if not further.isEmpty():
+            labels = components(links.union(further))
+    named = classes.select("cls", "id").join(labels, F.col("cls") == labels["node"], "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
+    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    named = named.join(least, "label").select("cls", "component")
     out = table.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).cast("long").alias("component_id"))
 

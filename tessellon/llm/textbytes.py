@@ -2,7 +2,8 @@
 
 Word classes here are decided byte by byte: every delimiter is ASCII, so a byte of 0x80 or more always belongs to a
 word and no code point is ever cut. Polynomial hashes are taken modulo 2**64 from prefix sums, so that the hash of any
-stretch costs two lookups.
+stretch costs two lookups; strings of a certain build (Thue-Morse) share them, so bytes must decide where they are used.
+Words are named by block_hash, which has no such build.
 """
 
 from __future__ import annotations
@@ -62,6 +63,32 @@ def stretch_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
         return (prefix[end] - prefix[start]) * powers(BASE_INVERSE, len(prefix))[start]
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+
+
+def block_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each stretch: the sum of its 8-byte blocks, each mixed with its place, mixed with the length.
+
+    Stretches of up to 8 bytes and equal length have equal names only if they are equal.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(buf),), "<u8", buffer=padded, strides=(1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        out = mix((at[start] & _LOW_BYTES[np.minimum(size, 8)]) ^ BASE)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            count = (size[long] - 1) // 8
+            before = np.cumsum(count) - count
+            inner = np.arange(int(count.sum())) - np.repeat(before, count) + 1
+            left = np.repeat(size[long], count) - 8 * inner
+            block = at[np.repeat(start[long], count) + 8 * inner] & _LOW_BYTES[np.minimum(left, 8)]
+            out[long] += np.add.reduceat(mix(block ^ mix(inner.astype(np.uint64) * BASE_INVERSE + BASE)), before)
+        return mix(out + size.astype(np.uint64) * BASE)
+
+
 def table(is_word, lower: bool = True) -> np.ndarray:
     """256 entries: 0 for a delimiter, else the byte that stands for it (A-Z become a-z if lower)."""
     out = np.zeros(256, np.uint8)
@@ -119,7 +146,7 @@ def words(buf: np.ndarray, off: np.ndarray, mapping: np.ndarray) -> tuple[np.nda
     last[:-1] &= ~inside[1:]
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    value = mix(stretch_hash(prefix_hash(mapped), start, end))
+    value = block_hash(mapped, start, end)
     row = np.searchsorted(off, start, "right") - 1
     return value, start, end, row
 

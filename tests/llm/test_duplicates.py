@@ -95,6 +95,41 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_in_many_blocks(spark, monkeypatch):
+    """Crowds cut into blocks of a few members, and hot shingles that go to the blocks directly."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    base = rng.choices(words, k=60)
+    rows = []
+    for i in range(160):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(60)] = rng.choice(words)
+        rows.append((i, " ".join(copy[: rng.randint(40, 60)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_groups(rows, 4, 85)
+    assert 3 < len({r[2] for r in want}) < 150
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "SMALL_TILE", 3)
+    for hot in (1 << 16, 8):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        assert sorted((tuple(r) for r in jaccard_join.near_duplicates(df, 4, 85).collect()), key=str) == want
+
+
+def test_op8_on_tables(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in jaccard_join.op8_jaccard_join(spark, sf).collect()), key=str) == brute_groups(rows, 4, 85)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words of 1024 letters."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, other + "  "), (4, f"{one} x y z u v w"), (5, f"{other} x y z u v w")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, cls int, n int"), 4, 85)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 2), (4, 4, 4), (5, 4, 5)]
+
+
 def test_components_of_long_paths(spark, monkeypatch):
     """Paths in id order, against it and shuffled settle in logarithmic rounds."""
     calls, cut = [], components.cut
