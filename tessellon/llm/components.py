@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,28 @@ def ensure_checkpoint_dir(spark) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from reliable storage, so that nothing above is computed again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows of df from a table in the shared folder, so that nothing above is computed again; see drop()."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(df.table_path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def release(spark) -> None:
+    """Lets Spark's cleaner remove the shuffle files of frames that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,6 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     shares it with all nodes of the same label; a path of d links takes about log2(d) rounds. Rounds go on until
     nothing changes: labels only fall, so that they end. Everything stays distributed; each round is cut to storage.
     """
+    last = None
     edges = cut(links.select("a", "b").filter("a <> b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
     labels = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
@@ -49,8 +71,11 @@ def components(links: DataFrame) -> DataFrame:
         own = far.join(near, far["node"] == near["a"]).select("node", "label", F.least("jump", "m").alias("low"))
         told = own.groupBy("label").agg(F.min("low").alias("least"))
         state = cut(own.join(told, "label").select("node", "label", F.least("low", "least").alias("next")))
+        drop(last or labels)
+        last = state
         labels = state.select("node", F.col("next").alias("label"))
         if state.filter(F.col("next") < F.col("label")).isEmpty():
+            drop(edges)
             return labels
 
 
@@ -97,16 +122,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return packed if len(packed) else np.zeros(FILTER_BITS // 8, np.uint8)
 
 
-def pruned(df: DataFrame, id_col: str, packed: np.ndarray) -> DataFrame:
-    """The rows of df whose id may be in the filter; null ids go."""
-    shared = df.sparkSession.sparkContext.broadcast(packed)
-    at = df.columns.index(id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            b = b.filter(b.column(at).is_valid())
-            if b.num_rows:
-                yield b.filter(pa.array(bits[_spots(b.column(at).to_numpy(zero_copy_only=False))]))
-
-    return df.mapInArrow(run, df.schema)
+def maybe_in(packed: np.ndarray, batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """The rows of a batch whose id, in column `at`, may be in the filter; null ids go."""
+    batch = batch.filter(batch.column(at).is_valid())
+    spots = _spots(batch.column(at).to_numpy(zero_copy_only=False))
+    return batch.filter(pa.array((packed[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).astype(bool)))

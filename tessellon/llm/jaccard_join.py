@@ -28,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm.components import combine_slices, components, cut, id_filter, pruned
+from tessellon.llm.components import combine_slices, components, cut, drop, id_filter, maybe_in, release
 from tessellon.llm.textbytes import NONSPACE, chunks, column_bytes, distinct, mix, shingles, words
 
-#: Counters of the frequency table, bits of a signature, members of a tile that gives its pairs itself.
-COUNTERS, SIGNATURE_BITS, SMALL_TILE = 1 << 18, 2048, 12
+#: Counters of the frequency table, least and most bits of a signature, members of a tile that gives its pairs itself.
+COUNTERS, LEAST_BITS, MOST_BITS, SMALL_TILE = 1 << 18, 2048, 1 << 16, 12
 #: Members of a block, and hashes of a block.
 BLOCK, BLOCK_HASHES = 2048, 2 << 20
 #: Bytes of text whose prefixes one bucket of postings should hold, and postings that a task gathers before it sends.
@@ -64,10 +65,24 @@ def class_ids(value: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    bits = np.zeros((rows, SIGNATURE_BITS), bool)
-    bits[row, (value >> np.uint64(20)).astype(np.int64) % SIGNATURE_BITS] = True
-    return np.packbits(bits, axis=1)
+def signatures(value: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Bitmaps of as many bits as the set has shingles, rounded up to a power of two."""
+    bits = np.minimum(np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)), MOST_BITS)
+    end = np.cumsum(bits)
+    flags = np.zeros(int(bits.sum()), bool)
+    flags[np.repeat(end - bits, size) + ((value >> np.uint64(20)).astype(np.int64) & np.repeat(bits - 1, size))] = True
+    whole = np.packbits(flags).tobytes()
+    return [whole[(e - n) // 8 : e // 8] for e, n in zip(end.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(data: list[bytes], size: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words, all brought to the given number of bytes by laying parts upon another."""
+    out = np.empty((len(data), size), np.uint8)
+    wide = np.array([len(d) for d in data])
+    for w in np.unique(wide):
+        at = np.flatnonzero(wide == w)
+        out[at] = np.bitwise_or.reduce(np.frombuffer(b"".join(data[k] for k in at), np.uint8).reshape(len(at), -1, size), axis=1)
+    return out.view(np.uint64)
 
 
 def required(a, b, percent: int):
@@ -100,7 +115,7 @@ def _describe(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 counters += np.bincount((value >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32)
                 k = hi - lo
                 one, two = (pa.array(class_ids(value, size, s ^ seed)) for s in _SEEDS)
-                data = pa.array([p.tobytes() for p in signatures(row, value, k)], pa.binary())
+                data = pa.array(signatures(value, size), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0).slice(lo, k), one, two, pa.array(size, pa.int64()), pa.array(np.diff(co), pa.int64()), data], names=names)
         if counters.any():
             parts = counters.reshape(_SLICES, -1)
@@ -122,22 +137,24 @@ def _postings(docs: DataFrame, width: int, percent: int, seed: int, shared, buck
         key, place, hot = (np.concatenate([h[k] for h in held]) for k in (0, 2, 5))
         member = np.concatenate([h[1] + b for h, b in zip(held, begun, strict=False)])
         cls, n = (np.concatenate([h[k] for h in held]) for k in (3, 4))
+        pack_ = zstandard.ZstdCompressor(1).compress
         # Copies of a set are told apart by nothing that matters here: the first of them stands for all.
         _, first, same = np.unique(cls, return_index=True, return_inverse=True)
         keep = first[same][member] == member
         key, member, place, hot = key[keep], member[keep], place[keep], hot[keep]
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         bucket[hot] = buckets + (cls[member[hot]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        key, member, place, bucket = key[order], member[order], place[order], bucket[order]
+        # Members keep their order in a bucket, and their shingles the order of places: small differences pack well.
+        order = np.argsort(bucket, kind="stable")
+        key, member, place, bucket = key[order], member[order], np.minimum(place[order], 65535), bucket[order]
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         for lo in range(0, len(at), 512):
             out = []
             for s, e in zip(at[lo : lo + 512].tolist(), [*at[lo + 1 : lo + 513].tolist(), len(key)], strict=False):
-                used, local = np.unique(member[s:e], return_inverse=True)
-                local = local.astype("<u2" if len(used) <= 1 << 16 else "<u4")
-                where = np.minimum(place[s:e], 65535).astype("<u2")
-                out.append((int(bucket[s]), key[s:e].astype("<u8").tobytes(), local.tobytes() + where.tobytes(), cls[used].tobytes(), n[used].astype("<u4").tobytes()))
+                used, count = np.unique(member[s:e], return_counts=True)
+                low = (key[s:e] >> np.uint64(24)).astype("<u4").tobytes() + (key[s:e] >> np.uint64(56)).astype("u1").tobytes()
+                places = pack_(count.astype("<u4").tobytes() + np.diff(place[s:e], prepend=0).astype("<i4").tobytes())
+                out.append((int(bucket[s]), low, places, cls[used].tobytes(), pack_(n[used].astype("<u4").tobytes())))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes", "sizes"])
 
@@ -167,12 +184,14 @@ def _postings(docs: DataFrame, width: int, percent: int, seed: int, shared, buck
 def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, class, n, place) of every posting of a bucket."""
     out = []
+    unpack = zstandard.ZstdDecompressor().decompress
     for k, m, c, z in zip(group["keys"], group["members"], group["classes"], group["sizes"], strict=True):
-        key, own = np.frombuffer(k, "<u8"), np.frombuffer(c, np.int64)
-        wide = "<u2" if len(own) <= 1 << 16 else "<u4"
-        at = np.frombuffer(m, wide, len(key))
-        place = np.frombuffer(m, "<u2", len(key), at.nbytes)
-        out.append((key, own[at], np.frombuffer(z, "<u4").astype(np.int32)[at], place))
+        size, own = len(k) // 5, np.frombuffer(c, np.int64)
+        key = np.frombuffer(k, "<u4", size).astype(np.uint64) | np.frombuffer(k, "u1", size, 4 * size).astype(np.uint64) << np.uint64(32)
+        m = unpack(m)
+        at = np.repeat(np.arange(len(own)), np.frombuffer(m, "<u4", len(own)))
+        place = np.cumsum(np.frombuffer(m, "<i4", size, 4 * len(own)))
+        out.append((key, own[at], np.frombuffer(unpack(z), "<u4").astype(np.int32)[at], place.astype(np.int32)))
     key, cls, n, place = (np.concatenate(x) for x in zip(*out, strict=True))
     return key, cls, n.astype(np.int64), place.astype(np.int64)
 
@@ -240,10 +259,6 @@ def bitmap_room(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray,
     return room
 
 
-def _words64(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
-
-
 def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that band and bitmaps allow, with the ids that stand for their classes."""
     one = classes.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("data").alias("sa"))
@@ -251,35 +266,43 @@ def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ia", "ib", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                room = bitmap_room(x["na"].to_numpy(), x["nb"].to_numpy(), _words64(x["sa"]), _words64(x["sb"]), percent)
-                yield x.select(["a", "b", "ia", "ib"]).filter(pa.array(room >= 0))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                x = whole.slice(lo, 2048)
+                na, nb, sa, sb = x["na"].to_numpy(), x["nb"].to_numpy(), x["sa"].to_pylist(), x["sb"].to_pylist()
+                least = np.array([min(len(p), len(q)) for p, q in zip(sa, sb, strict=True)])
+                ok = np.zeros(len(na), bool)
+                for w in np.unique(least):
+                    at = np.flatnonzero(least == w)
+                    ok[at] = bitmap_room(na[at], nb[at], *(folded([d[k] for k in at], w) for d in (sa, sb)), percent) >= 0
+                yield x.select(["a", "b", "ia", "ib"]).filter(pa.array(ok))
 
     return joined.mapInArrow(run, "a long, b long, ia long, ib long")
 
 
-def _arrays(docs: DataFrame, needed: DataFrame, width: int, seed: int) -> DataFrame:
-    """(cls, hashes): the sorted hash array of the classes for which the needed ids stand, and perhaps of a few more."""
+def _arrays(docs: DataFrame, needed: DataFrame, width: int, seed: int, unique: bool) -> DataFrame:
+    """(cls, id, hashes): the sorted hash array of the needed rows, and perhaps of a few more."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
+            b = maybe_in(shared.value, whole, 0)
             buf, off = column_bytes(b.column(1))
-            for _, _, cb, co in chunks(buf, off):
+            for lo, hi, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
-                some = size > 0
                 end = np.cumsum(size)
-                data = [value[e - n : e].tobytes() for e, n in zip(end[some].tolist(), size[some].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(value, size, _SEEDS[0] ^ seed)[some]), pa.array(data, pa.binary())], names=["cls", "hashes"])
+                data = [value[e - n : e].tobytes() for e, n in zip(end.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(value, size, _SEEDS[0] ^ seed)), b.column(0).slice(lo, hi - lo), pa.array(data, pa.binary())], names=["cls", "id", "hashes"])
 
-    return pruned(docs.select("id", "text"), "id", id_filter(needed)).mapInArrow(run, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    out = docs.select("id", "text").mapInArrow(run, "cls long, id long, hashes binary")
+    return out if unique else out.groupBy("cls", "id").agg(F.first("hashes").alias("hashes"))
 
 
 def _exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by intersecting their sorted hash arrays; one array travels to the other's place."""
-    one = arrays.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
-    two = arrays.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ha", "hb")
+    one = arrays.select(F.col("cls").alias("a"), F.col("id").alias("ia"), F.col("hashes").alias("ha"))
+    two = arrays.select(F.col("cls").alias("b"), F.col("id").alias("ib"), F.col("hashes").alias("hb"))
+    joined = pairs.join(one, ["a", "ia"]).join(two, ["b", "ib"]).select("a", "b", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -343,7 +366,7 @@ def _settled(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     group = group.sort_values("lead", ascending=False, kind="stable").drop_duplicates("cls")
     if len(group) < 2:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    bits = np.frombuffer(b"".join(group["data"]), np.uint64).reshape(len(group), -1)
+    bits = folded(group["data"].tolist(), min(map(len, group["data"])))
     hashes = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
     a, b = settle(*(group[c].to_numpy() for c in ("cls", "n")), bits, hashes, *(group[c].to_numpy() for c in ("comp", "lead", "home")), percent)
     return pd.DataFrame({"a": a, "b": b})
@@ -365,7 +388,9 @@ def _crowds(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
     # A band without members at home has nothing to meet.
     size = laid.groupBy("crowd", "band").agg(many.alias("blocks"), F.max("home").alias("some"), F.count("*").alias("k")).filter("some and k > 1").select("crowd", "band", "blocks")
-    return laid.join(size, ["crowd", "band"])
+    out = cut(laid.join(size, ["crowd", "band"]))
+    drop(laid)
+    return out
 
 
 _MEMBER = ("cls", "n", "data", "hashes", "comp", "lead", "home")
@@ -404,42 +429,50 @@ def _described(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
         classes = cut(members.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("data").alias("data"), F.min("other").alias("least"), F.max("other").alias("most")))
         if classes.filter("least <> most").isEmpty():
             return described, classes, seed
+        drop(described, classes)
         seed += 1
 
 
-def _one_document(table: DataFrame) -> DataFrame:
-    """Links between the classes that one id stands in."""
-    own = table.filter("n > 0 and id is not null")
-    several = own.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("most")).filter("a <> most").select("id", "a")
-    return own.join(several, "id").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs; component_id is the smallest id reachable by links."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described, classes, seed = _described(rows, width)
-    table = described.filter("kind = 0").select("id", "cls", "n", "bytes")
+    table = cut(described.filter("kind = 0").select("id", "cls", "n", "bytes"))
     counts = combine_slices(described.filter("kind = 1").select(F.col("cls").cast("int").alias("slice"), "data"), "uint32", "sum").astype(np.float64)
     if not len(counts):
         counts = np.zeros(COUNTERS)
+    drop(described)
     # Only the order of magnitude above the common noise counts, so that rare shingles stay in hash order.
     levels = np.floor(np.log2(counts / max(1.0, counts.mean()) + 1)).astype(np.int8)
     often = (counts > HOT) & (counts > 8 * counts.mean())
     buckets = max(8, -(-int(table.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
-    shared = docs.sparkSession.sparkContext.broadcast((levels, often))
+    shared = spark.sparkContext.broadcast((levels, often))
     found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, seed, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket(percent, buckets), "kind int, a long, b long"))
+    release(spark)
     pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent))
-    crowds = cut(_crowds(found.filter("kind = 1"), classes, percent))
+    crowds = _crowds(found.filter("kind = 1"), classes, percent)
+    names = cut(classes.select("cls", "id"))
+    drop(found, classes)
+    # Ids that stand in several rows: their classes count as linked.
+    own = table.filter("n > 0 and id is not null")
+    several = cut(own.groupBy("id").agg(F.min("cls").alias("a"), F.count("*").alias("k")).filter("k > 1").select("id", "a"))
     needed = pairs.select(F.explode(F.array("ia", "ib")).alias("id")).union(crowds.select("id"))
-    arrays = cut(_arrays(rows, needed, width, seed))
-    members = crowds.join(arrays, "cls")
-    links = cut(_exact(pairs, arrays, percent).union(_within(members, percent)).union(_one_document(table)))
+    arrays = cut(_arrays(rows, needed, width, seed, several.isEmpty()))
+    release(spark)
+    members = crowds.join(arrays, ["cls", "id"])
+    same = own.join(several, "id").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    links = cut(_exact(pairs, arrays, percent).union(_within(members, percent)).union(same))
+    drop(pairs, several)
+    release(spark)
     labels = components(links)
     if not crowds.filter("blocks > 1").isEmpty():
         further = cut(_across(members, labels, percent))
         if not further.isEmpty():
             labels = components(links.union(further))
-    named = classes.select("cls", "id").join(labels, F.col("cls") == labels["node"], "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
+        drop(further)
+    drop(links, crowds, arrays)
+    named = names.join(labels, F.col("cls") == labels["node"], "left").select("cls", "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component"))
     named = named.join(least, "label").select("cls", "component")
     out = table.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
