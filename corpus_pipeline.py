@@ -16,6 +16,8 @@ from tessellon.llm import bpe, components, contamination, jaccard_join, pii, qua
 
 #: Documents that score less go. op9's decision is stricter (0.7); the README has the error rates of both.
 QUALITY_THRESHOLD = 0.5
+#: Ids (of 8 bytes) that may be broadcast.
+BROADCAST_IDS = 1 << 20
 #: SQL can express neither the classifier nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -31,8 +33,11 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     with_id = docs.filter("doc_id is not null")
     if with_id.groupBy("doc_id").count().filter("count > 1").isEmpty():
         groups = jaccard_join.near_duplicates(docs, width=5, percent=80)
-        kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-        out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+        gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        table = components.cut(gone)
+        # Few ids go to every task, so that the texts need no shuffle; more are joined.
+        gone = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+        out = with_id.join(gone, with_id["doc_id"] == gone["_gone"], "left_anti")
     else:
         # An id may stand for unlike texts: rows are grouped by a 64-bit hash of id and text, and of several with the
         # smallest id of a group the first by content stays.
