@@ -7,7 +7,7 @@ fragments are sent once, for the smallest id; the other ids' strings are known t
 third of all documents is one fragment a batch.
 
 In a bucket, fragments that only one document has are set aside, equal ones are merged, and the suffixes of the rest
-are sorted: grouped by the hash of their first K bytes, then merge sorted in lock step over all groups. Two suffixes are
+are sorted: grouped by the hash of their first bytes (two thirds of the length), then merge sorted in lock step over all groups. Two suffixes are
 compared by their longest common extension, found by binary search on prefix polynomial hashes, and by the byte
 behind it. Neighbours that agree in `length` bytes are one string, which is verified byte by byte; its smallest id
 decides for every fragment that holds it.
@@ -34,7 +34,7 @@ from tessellon.llm.textbytes import BASE_INVERSE, chunks, column_bytes, merge_in
 
 LENGTH, K = 50, 12
 #: Bytes of text whose fragments one bucket should hold, and bytes of text that one batch gathers before it sends.
-BUCKET_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
+BUCKET_BYTES, BATCH_BYTES = 8 << 20, 16 << 20
 #: Bytes of fragments whose suffixes are hashed and sorted at a time; one least hash with more is handled alone.
 SLICE_BYTES = 1 << 20
 
@@ -117,17 +117,25 @@ class _Suffixes:
         self.buf, self.length = buf, length
         self.prefix = prefix_hash(buf)
         self.inverse = powers(BASE_INVERSE, len(self.prefix))
+        self.whole = window_hashes(self.prefix, length)
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The longest common extension up to length, by binary search on prefix hashes."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        """The longest common extension up to length, by binary search on prefix hashes; most pairs share it all."""
+        out = np.full(len(a), self.length)
+        apart = np.flatnonzero(self.whole[a] != self.whole[b])
+        if not len(apart):
+            return out
+        a, b = a[apart], b[apart]
+        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.length - 1)
         with np.errstate(over="ignore"):
-            for _ in range(int(self.length).bit_length()):
+            ha, ia, hb, ib = self.prefix[a], self.inverse[a], self.prefix[b], self.inverse[b]
+            for _ in range(int(self.length - 1).bit_length()):
                 mid = (lo + hi + 1) >> 1
-                same = (self.prefix[a + mid] - self.prefix[a]) * self.inverse[a] == (self.prefix[b + mid] - self.prefix[b]) * self.inverse[b]
+                same = (self.prefix[a + mid] - ha) * ia == (self.prefix[b + mid] - hb) * ib
                 lo = np.where(same, mid, lo)
                 hi = np.where(same, hi, mid - 1)
-        return lo
+        out[apart] = lo
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
         """Whether suffix a sorts before b; equal ones do if ties."""
@@ -243,7 +251,8 @@ def _decide(data: np.ndarray, lens: np.ndarray, anchor: np.ndarray, smallest: np
     place = begin[owner] + np.arange(len(owner)) - first[owner]
     suffixes = _Suffixes(data, length)
     with np.errstate(over="ignore"):
-        group = mix(window_hashes(suffixes.prefix, k)[place] ^ (anchor[owner] * np.uint64(3)))
+        # Strings that are equal begin alike; the longer the beginning, the smaller the groups to be sorted.
+        group = mix(window_hashes(suffixes.prefix, max(k, 2 * length // 3))[place] ^ (anchor[owner] * np.uint64(3)))
     order = np.argsort(group, kind="stable")
     group = group[order]
     sa = suffixes.sort(place[order], group)
@@ -271,11 +280,22 @@ def _spans_blob(start: np.ndarray, end: np.ndarray) -> bytes:
 def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    blobs = []
-    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False):
-        blobs.append(_spans_blob(*merge_intervals(start[s:e], end[s:e])))
-    return doc[at].tolist(), blobs
+    if not len(doc):
+        return [], []
+    new = np.append(True, doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    # Every document on its own stretch of one line, so that all are merged at once.
+    low, width = int(start.min()), int(end.max()) - int(start.min()) + 2
+    if width * len(at) < 1 << 62:
+        shift = (np.cumsum(new) - 1) * width - low
+        first, last = merge_intervals(start + shift, end + shift)
+        which = first // width
+        pairs = np.stack([first - which * width + low, last - which * width + low], 1).astype("<i8")
+        cut = np.searchsorted(which, np.arange(len(at) + 1))
+        whole = pairs.tobytes()
+        return doc[at].tolist(), [whole[16 * s : 16 * e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    ends = [*at[1:].tolist(), len(doc)]
+    return doc[at].tolist(), [_spans_blob(*merge_intervals(start[s:e], end[s:e])) for s, e in zip(at.tolist(), ends, strict=True)]
 
 
 def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
