@@ -273,34 +273,40 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, 5), 5)
 
 
-def _spans_blob(start: np.ndarray, end: np.ndarray) -> bytes:
-    return np.stack([start, end], 1).astype("<i8").tobytes()
-
-
-def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of each document's [start, end) as maximal spans, by document and start."""
+    if not len(doc):
+        return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    if not len(doc):
-        return [], []
     new = np.append(True, doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    # Every document on its own stretch of one line, so that all are merged at once.
+    own = doc[new]
+    # Every document on its own stretch of one line, so that all are merged at once; as many at a time as the line holds.
     low, width = int(start.min()), int(end.max()) - int(start.min()) + 2
-    if width * len(at) < 1 << 62:
-        shift = (np.cumsum(new) - 1) * width - low
-        first, last = merge_intervals(start + shift, end + shift)
-        which = first // width
-        pairs = np.stack([first - which * width + low, last - which * width + low], 1).astype("<i8")
-        cut = np.searchsorted(which, np.arange(len(at) + 1))
-        whole = pairs.tobytes()
-        return doc[at].tolist(), [whole[16 * s : 16 * e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    ends = [*at[1:].tolist(), len(doc)]
-    return doc[at].tolist(), [_spans_blob(*merge_intervals(start[s:e], end[s:e])) for s, e in zip(at.tolist(), ends, strict=True)]
+    step = max(1, (1 << 62) // width)
+    which, out = np.cumsum(new) - 1, []
+    for lo in range(0, len(own), step):
+        a, b = np.searchsorted(which, [lo, lo + step])
+        shift = (which[a:b] - lo) * width - low
+        first, last = merge_intervals(start[a:b] + shift, end[a:b] + shift)
+        at = first // width
+        out.append((own[lo + at], first - at * width + low, last - at * width + low))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _pack_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    return _pack(np.diff(doc, prepend=0), np.diff(start, prepend=0), end - start)
+
+
+def _unpack_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, start, size = pickle.loads(zstandard.decompress(data))
+    start = np.cumsum(start)
+    return np.cumsum(doc), start, start + size
 
 
 def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """docs (id, base, text) as rows (bucket, id, data): packed fragments for a bucket, or spans that are known already to be
-    the id's (they travel by any bucket)."""
+    """docs (id, base, text) as rows (bucket, batch, known, data): packed fragments for a bucket, or spans that are known
+    already to go (they travel by any bucket). A batch is some MB of documents, named by a hash of its ids."""
 
     def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids, bases = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -320,7 +326,11 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         np.minimum.at(smallest, lead, ids[row])
         local = ids[row] == smallest[lead]
         start = begin - off[row] + bases[row]
-        out = [(d % buckets, d, s) for d, s in zip(*_by_doc(ids[row][~local], start[~local], (start + size)[~local]), strict=True)]
+        with np.errstate(over="ignore"):
+            batch = int(mix(np.add.reduce(mix(ids.view(np.uint64)), keepdims=True)).view(np.int64)[0])
+        out = []
+        if not local.all():
+            out.append((batch % buckets, batch, True, _pack_spans(*_merged(ids[row][~local], start[~local], (start + size)[~local]))))
         bucket = (least % np.uint64(buckets)).astype(np.int64)
         order = np.flatnonzero(local)
         order = order[np.lexsort((start[order], ids[row[order]], bucket[order]))]
@@ -334,10 +344,10 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
             kept = own[which]
             # A fragment has less than twice the length.
             blob = _pack(size[kept].astype(np.min_scalar_type(2 * length)), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
-            out.append((q, None, blob))
+            out.append((q, batch, False, blob))
         for lo in range(0, len(out), 4096):
             c = list(zip(*out[lo : lo + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["bucket", "id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.binary())], names=["bucket", "batch", "known", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -353,30 +363,54 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "bucket int, id long, data binary")
+    return docs.mapInArrow(run, "bucket int, batch long, known boolean, data binary")
 
 
 def _bucket(length: int, k: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts, have = [], 0
-        known = group["id"].notna()
-        for blob in group["data"][~known]:
+        """(batch, data): the spans that go, packed for each batch."""
+        parts, of, have = [], [], 0
+        known = group["known"]
+        for batch, blob in zip(group["batch"][~known], group["data"][~known], strict=True):
             lens, data, frag, doc, start = pickle.loads(zstandard.decompress(blob))
-            parts.append((lens.astype(np.int64), data, np.cumsum(frag, dtype=np.int64) + have, np.cumsum(doc), np.cumsum(start)))
+            doc = np.cumsum(doc)
+            parts.append((lens.astype(np.int64), data, np.cumsum(frag, dtype=np.int64) + have, doc, np.cumsum(start)))
+            of.append(np.full(len(doc), batch))
             have += len(lens)
-        ids, blobs = _by_doc(*removed_in_bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), length, k)) if parts else ([], [])
-        ids = np.concatenate([np.array(ids, np.int64), group["id"][known].to_numpy(np.int64)])
-        return pd.DataFrame({"id": ids, "data": pd.Series(blobs + group["data"][known].tolist(), dtype=object)})
+        out = list(zip(group["batch"][known], group["data"][known], strict=True))
+        if parts:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            ids, first = np.unique(columns[3], return_index=True)
+            home = np.concatenate(of)[first]
+            doc, start, end = _merged(*removed_in_bucket(*columns, length, k))
+            # An id that stands in several batches goes by the first of them.
+            batch = home[np.searchsorted(ids, doc)]
+            order = np.argsort(batch, kind="stable")
+            at = np.flatnonzero(np.append(True, batch[order][1:] != batch[order][:-1])) if len(order) else order
+            for s, e in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=False):
+                some = order[s:e]
+                out.append((int(batch[some[0]]), _pack_spans(doc[some], start[some], end[some])))
+        return pd.DataFrame({"batch": np.array([x for x, _ in out], np.int64), "data": pd.Series([x for _, x in out], dtype=object)})
 
     return run
 
 
+def _by_document(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """(id, data): a batch's spans, merged over all buckets, as packed (start, end) of each document."""
+    doc, start, end = _merged(*(np.concatenate(x) for x in zip(*map(_unpack_spans, group["data"]), strict=True)))
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    whole = np.stack([start, end], 1).astype("<i8").tobytes()
+    blobs = [whole[16 * s : 16 * e] for s, e in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=False)]
+    return pd.DataFrame({"id": doc[at], "data": pd.Series(blobs, dtype=object)})
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(id, blobs) for docs (id, base, text): arrays of packed (start, end) in bytes, counted from base."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-int(total) // BUCKET_BYTES))
     sent = _send(docs.filter("id is not null"), buckets, length, k)
-    found = sent.groupBy("bucket").applyInPandas(_bucket(length, k), "id long, data binary")
+    found = sent.groupBy("bucket").applyInPandas(_bucket(length, k), "batch long, data binary")
+    found = found.groupBy("batch").applyInPandas(_by_document, "id long, data binary")
     return found.groupBy("id").agg(F.collect_list("data").alias("blobs"))
 
 

@@ -48,6 +48,11 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_op7_on_tables(spark, sf):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in suffix_dedup.op7_suffix_dedup(spark, sf).collect()), key=str) == brute_dedup(rows)
+
+
 def brute_groups(rows, width, percent):
     sets = []
     for i, t in rows:
