@@ -11,6 +11,8 @@ computation when |d(q, parent) - d(child, parent)| already exceeds the k-th dist
 entries likewise by their stored distances. Distances prune with a slack above rounding; scores are exact.
 
 Blocks of queries meet shards (never rows all rows), each giving at most k per query, and the best k of all shards stay.
+A shard's pages travel once to each block of queries; for the 8 MB of pages of 64 dimensions that a block receives it
+searches QUERY_BLOCK queries. Where vectors have no clusters the bounds can prune little (README has the figures).
 
 Defined cases: a vector that is null or has null or non-finite components takes no part; only vectors of equal length
 are compared; ties go to the smaller id; fewer candidates than k give fewer rows; rows sharing an id are all
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a shard, entries of a leaf page, children of an inner page, queries of a block.
-SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 2048, 16, 2048
+SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 32, 16, 8192
 #: Inner products below this are exact in double precision.
 EXACT = 2.0**53
 PAGE_SCHEMA = "shard int, dims int, node int, parent int, leaf boolean, pivot binary, radius double, to_parent double, ids binary, vectors binary, to_pivot binary"
@@ -45,7 +47,7 @@ def _distances(points: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def build_pages(ids: np.ndarray, x: np.ndarray, top: float) -> Iterator[dict]:
     """Bulk load: split by the nearest of some routing vectors until a page holds the rest; parents first."""
-    points, count = lift(x, top), 0
+    points, count, rng = lift(x, top), 0, np.random.default_rng(len(ids))
     todo = [(np.arange(len(ids)), -1, None)]
     while todo:
         rows, parent, above = todo.pop()
@@ -58,12 +60,12 @@ def build_pages(ids: np.ndarray, x: np.ndarray, top: float) -> Iterator[dict]:
             yield page | {"leaf": True, "ids": ids[rows].tobytes(), "vectors": x[rows].tobytes(), "to_pivot": far.tobytes()}
             continue
         yield page | {"leaf": False, "ids": None, "vectors": None, "to_pivot": None}
-        # Routing vectors evenly among the rows by distance from the centre: far outliers would draw tiny pages.
-        nearest, best = np.zeros(len(rows), np.int64), far
-        for k, r in enumerate(np.argsort(far, kind="stable")[np.linspace(0, len(rows) - 1, FANOUT + 1).astype(int)[1:]], 1):
-            d = _distances(own, own[r])
-            nearest[d < best] = k
-            best = np.minimum(best, d)
+        # Routing vectors drawn from the rows: clusters get theirs by their size, on this level or a lower one.
+        fanout = min(FANOUT, max(2, -(-len(rows) // LEAF)))
+        drawn = np.unique(own[rng.choice(len(rows), fanout, replace=False)], axis=0)
+        if len(drawn) == 1:
+            drawn = np.stack([centre, own[int(np.argmax(far))]])
+        nearest = np.argmin(np.stack([_distances(own, r) for r in drawn]), axis=0)
         todo += [(rows[nearest == k], page["node"], centre) for k in np.unique(nearest)]
 
 
@@ -81,6 +83,8 @@ class Forest:
             for r in pages.itertuples()
             if r.leaf
         }
+        #: Entries scored and routing vectors measured by all searches so far.
+        self.scored = self.measured = 0
         self.largest = {n: float(np.abs(v).max(initial=0)) for n, (_, v, _) in self.leaf.items()}
 
     def search(self, own: int, q: np.ndarray, k: int, top: float) -> list[tuple[int, int]]:
@@ -101,6 +105,7 @@ class Forest:
                 kids = self.children[node]
                 kids = kids[np.abs(d - self.to_parent[kids]) - self.radius[kids] <= reach + slack]
                 if len(kids):
+                    self.measured += len(kids)
                     dist = _distances(self.pivot[kids], lifted)
                     for c, dc, lo in zip(kids.tolist(), dist.tolist(), (dist - self.radius[kids]).tolist(), strict=True):
                         if lo <= reach + slack:
@@ -110,6 +115,7 @@ class Forest:
             maybe = np.flatnonzero((np.abs(d - to_pivot) <= reach + slack) & (ids != own))
             if not len(maybe):
                 continue
+            self.scored += len(maybe)
             if self.largest[node] * widest < EXACT:
                 scores = ((vectors if len(maybe) == len(ids) else vectors[maybe]) @ q).astype(np.int64)
                 if len(best) == k:

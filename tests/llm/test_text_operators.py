@@ -228,3 +228,52 @@ def test_added_secrets_of_any_shape(spark):
     for i, (kind, t) in enumerate(texts):
         assert (f"{kind}:4:{4 + len(t)}" in got[i].split(",")) if kind else "der" not in got[i], (i, got[i])
     assert "=" not in texts[1][1] and ":" not in texts[1][1]
+
+
+def clustered(rows, dims, clusters, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[rng.integers(0, clusters, rows)] + rng.normal(scale=0.05, size=(rows, dims))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def brute_top(x, ids, queries, k):
+    v = np.floor(256 * x)
+    out = []
+    for q in queries:
+        s = (v @ v[q]).astype(np.int64)
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+        out += [(int(ids[q]), r, int(ids[i]), int(s[i])) for r, i in enumerate(order, 1)]
+    return sorted(out)
+
+
+def test_metric_tree_prunes_and_is_exact(spark):
+    """Several levels of small pages; on clustered vectors most entries are never scored."""
+    import pandas as pd
+
+    x, ids = clustered(6000, 64, 40, 3), np.arange(6000)
+    whole = np.floor(256 * x)
+    top = float((whole * whole).sum(1).max())
+    pages = pd.DataFrame(metric_search.build_pages(ids, whole, top))
+    assert pages["parent"].nunique() > 20 and pages["ids"].dropna().map(len).median() // 8 < metric_search.LEAF + 1
+    depth = {-1: 0}
+    for node, parent in zip(pages["node"], pages["parent"]):
+        depth[node] = depth[parent] + 1
+    assert max(depth.values()) >= 3
+    forest = metric_search.Forest(pages, 64)
+    for q in range(0, 6000, 50):
+        assert len(forest.search(q, whole[q], 5, top)) == 5
+    assert forest.scored < 0.25 * 120 * 6000
+    df = spark.createDataFrame([(int(i), r) for i, r in zip(ids, x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = metric_search.top_k(df, df.filter("vec_id % 50 = 0"), 5)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(x, ids, range(0, 6000, 50), 5)
+
+
+def test_metric_search_in_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metric_search, "SHARD_ROWS", 700)
+    monkeypatch.setattr(metric_search, "QUERY_BLOCK", 16)
+    x, ids = np.random.default_rng(5).normal(size=(2500, 9)), np.arange(2500)
+    x[7] = x[9] = x[50]
+    df = spark.createDataFrame([(int(i), r, "e") for i, r in zip(ids, x.tolist())], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = metric_search.top_k(df, df.filter("vec_id % 50 = 0"), 5)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(x, ids, range(0, 2500, 50), 5)
