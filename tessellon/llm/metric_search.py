@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a shard, entries of a leaf page, children of an inner page, queries of a block.
 SHARD_ROWS, LEAF, FANOUT, QUERY_BLOCK = 16384, 32, 16, 8192
+#: Most nodes that a search takes from its queue at a time.
+AT_ONCE = 32
 #: Inner products below this are exact in double precision.
 EXACT = 2.0**53
 PAGE_SCHEMA = "shard int, dims int, node int, parent int, leaf boolean, pivot binary, radius double, to_parent double, ids binary, vectors binary, to_pivot binary"
@@ -70,7 +72,7 @@ def build_pages(ids: np.ndarray, x: np.ndarray, top: float) -> Iterator[dict]:
 
 
 class Forest:
-    """The pages of one shard, ready for search."""
+    """The pages of one shard, ready for search: the entries of all leaf pages lie in one array, page by page."""
 
     def __init__(self, pages: pd.DataFrame, dims: int):
         pages = pages.sort_values("node")
@@ -78,62 +80,68 @@ class Forest:
         self.radius, self.to_parent = pages["radius"].to_numpy(), pages["to_parent"].to_numpy()
         parent = pages["parent"].to_numpy()
         self.children = {int(n): np.flatnonzero(parent == n) for n in np.unique(parent[parent >= 0])}
-        self.leaf = {
-            int(r.node): (np.frombuffer(r.ids, np.int64), np.frombuffer(r.vectors, np.float64).reshape(-1, dims), np.frombuffer(r.to_pivot, np.float64))
-            for r in pages.itertuples()
-            if r.leaf
-        }
+        leaves = pages[pages["leaf"]]
+        self.ids = np.frombuffer(b"".join(leaves["ids"]), np.int64)
+        self.vectors = np.frombuffer(b"".join(leaves["vectors"]), np.float64).reshape(len(self.ids), dims)
+        self.to_pivot = np.frombuffer(b"".join(leaves["to_pivot"]), np.float64)
+        end = np.cumsum([len(i) // 8 for i in leaves["ids"]]).tolist()
+        self.leaf = dict(zip(leaves["node"].tolist(), zip([0, *end], end, strict=False), strict=True))
         #: Entries scored and routing vectors measured by all searches so far.
         self.scored = self.measured = 0
-        self.largest = {n: float(np.abs(v).max(initial=0)) for n, (_, v, _) in self.leaf.items()}
+        self.largest = float(np.abs(self.vectors).max(initial=0))
+
+    def _scores(self, at: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+        if exact:
+            return (self.vectors[at] @ q).astype(np.int64)
+        whole = [int(v) for v in q]
+        return np.array([sum(a * int(b) for a, b in zip(whole, self.vectors[i].tolist(), strict=True)) for i in at], object)
 
     def search(self, own: int, q: np.ndarray, k: int, top: float) -> list[tuple[int, int]]:
-        """The best (score, id) pairs, best first; the query's own id takes no part."""
+        """The best (score, id) pairs, best first; the query's own id takes no part.
+
+        Nodes are taken nearest first, one, then two, four, up to AT_ONCE at a time.
+        """
         lifted, norm = np.append(q, 0.0), float(q @ q)
-        scale = np.sqrt(norm + top) + 1.0
-        slack = 1e-7 * scale
-        widest = float(np.abs(q).max(initial=0)) * max(1, len(q))
-        best: list[tuple[int, int]] = []  # a heap of (score, -id), worst first
-        reach = np.inf
+        slack = 1e-7 * (np.sqrt(norm + top) + 1.0)
+        exact = self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) < EXACT
+        best_score, best_id = np.zeros(0, np.int64 if exact else object), np.zeros(0, np.int64)
+        reach, width = np.inf, 1
         d0 = float(np.linalg.norm(lifted - self.pivot[0]))
         queue = [(max(0.0, d0 - self.radius[0]), 0, d0)]
-        while queue:
-            least, node, d = heapq.heappop(queue)
-            if least > reach + slack:
-                break
-            if node not in self.leaf:
-                kids = self.children[node]
-                kids = kids[np.abs(d - self.to_parent[kids]) - self.radius[kids] <= reach + slack]
-                if len(kids):
-                    self.measured += len(kids)
-                    dist = _distances(self.pivot[kids], lifted)
-                    for c, dc, lo in zip(kids.tolist(), dist.tolist(), (dist - self.radius[kids]).tolist(), strict=True):
-                        if lo <= reach + slack:
-                            heapq.heappush(queue, (max(0.0, lo), c, dc))
-                continue
-            ids, vectors, to_pivot = self.leaf[node]
-            maybe = np.flatnonzero((np.abs(d - to_pivot) <= reach + slack) & (ids != own))
-            if not len(maybe):
+        while queue and queue[0][0] <= reach + slack:
+            inner, leaves = [], []
+            while queue and len(inner) + len(leaves) < width and queue[0][0] <= reach + slack:
+                _, node, d = heapq.heappop(queue)
+                (leaves if node in self.leaf else inner).append((node, d))
+            width = min(AT_ONCE, 2 * width)
+            if inner:
+                kids = [self.children[n] for n, _ in inner]
+                above = np.repeat([d for _, d in inner], [len(x) for x in kids])
+                kids = np.concatenate(kids)
+                kids = kids[np.abs(above - self.to_parent[kids]) - self.radius[kids] <= reach + slack]
+                self.measured += len(kids)
+                dist = _distances(self.pivot[kids], lifted)
+                least = np.maximum(0.0, dist - self.radius[kids])
+                near = least <= reach + slack
+                for item in zip(least[near].tolist(), kids[near].tolist(), dist[near].tolist(), strict=True):
+                    heapq.heappush(queue, item)
+            if not leaves:
                 continue
-            self.scored += len(maybe)
-            if self.largest[node] * widest < EXACT:
-                scores = ((vectors if len(maybe) == len(ids) else vectors[maybe]) @ q).astype(np.int64)
-                if len(best) == k:
-                    keep = scores >= best[0][0]
-                    maybe, scores = maybe[keep], scores[keep]
-                order = np.lexsort((ids[maybe], -scores))[:k]
-                found = zip(scores[order].tolist(), ids[maybe[order]].tolist(), strict=True)
-            else:
-                whole = [int(v) for v in q]
-                found = ((sum(a * int(b) for a, b in zip(whole, vectors[i].tolist(), strict=True)), int(ids[i])) for i in maybe)
-            for s, i in found:
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-            if len(best) == k:
-                reach = float(np.sqrt(max(0.0, norm + top - 2 * best[0][0])))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            spans = [self.leaf[n] for n, _ in leaves]
+            at = np.concatenate([np.arange(s, e) for s, e in spans])
+            d = np.repeat([d for _, d in leaves], [e - s for s, e in spans])
+            at = at[(np.abs(d - self.to_pivot[at]) <= reach + slack) & (self.ids[at] != own)]
+            self.scored += len(at)
+            scores = self._scores(at, q, exact)
+            if len(best_id) == k:
+                keep = scores >= best_score[-1]
+                at, scores = at[keep], scores[keep]
+            best_score, best_id = np.concatenate([best_score, scores]), np.concatenate([best_id, self.ids[at]])
+            order = np.lexsort((best_id, -best_score)) if exact else np.array(sorted(range(len(best_id)), key=lambda i: (-best_score[i], best_id[i])), np.int64)
+            best_score, best_id = best_score[order[:k]], best_id[order[:k]]
+            if len(best_id) == k:
+                reach = float(np.sqrt(max(0.0, norm + top - 2 * float(best_score[-1]))))
+        return list(zip(best_score.tolist(), best_id.tolist(), strict=True))
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
