@@ -7,7 +7,9 @@ sampled at every SAMPLE-th place and behind every boundary. All phrases are sear
 wavelet ranks; occurrences are located by walking to a sampled position; hit words of a document are merged to spans.
 
 Phrases are each item's windows of `width` words, or the whole item where it has fewer. They reach the executors in
-blocks of at most BLOCK_BYTES of item texts, one broadcast a block, so that no broadcast grows with the benchmark.
+blocks of at most BLOCK_BYTES of item texts, one broadcast a block; where there are several, a task holds one at a time
+and reads the others again from Spark's store for each of its batches. Word hashes propose a symbol, the words' bytes
+decide it.
 
 Defined cases: null or empty texts have no words; an item without words has no phrase; documents are judged row by
 row, so repeated rows give repeated results; an empty benchmark hits nothing.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellon.llm.textbytes import ALNUM, chunks, column_bytes, words
+from tessellon.llm.textbytes import ALNUM, chunks, column_bytes, heads, same_stretches, words
 
 WIDTH, SAMPLE = 8, 8
 SHARD_BYTES = 4 << 20
@@ -36,17 +38,23 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         found: dict[bytes, set] = {}
-        hashes = []
+        self.bytes = np.zeros(0, np.uint8)
+        self.start = self.size = np.zeros(0, np.int64)
+        self.vocabulary = self.head = np.zeros(0, np.uint64)
         if items:
             buf, off = column_bytes(pa.array([t or "" for _, t in items], pa.string()))
-            value, _, _, row = words(buf, off, ALNUM)
+            value, start, end, row = words(buf, off, ALNUM)
+            self.bytes = ALNUM[buf]
+            self.vocabulary, first, same = np.unique(value, return_index=True, return_inverse=True)
+            self.start, self.size = start[first], (end - start)[first]
+            self.head = heads(self.bytes, start[first], end[first])
+            if len(value) and not self._is(same, self.bytes, start, end).all():
+                raise ValueError("two words of the benchmark share a 64-bit hash")
             at = np.searchsorted(row, np.arange(len(items) + 1))
             for k, (item, _) in enumerate(items):
                 own = value[at[k] : at[k + 1]]
                 for i in range(max(1, len(own) - width + 1) if len(own) else 0):
                     found.setdefault(own[i : i + width].tobytes(), set()).add(item)
-            hashes = [value]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.length = np.array([len(p) // 8 for p in found], np.int64)
         self.symbols = np.zeros((len(found), width), np.int64)
         for k, p in enumerate(found):
@@ -55,6 +63,24 @@ class Phrases:
         self.owners = [sorted(o) for o in found.values()]
         self.shortest = int(self.length.min(initial=width))
 
+    def _is(self, at: np.ndarray, mapped: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the words start..end of mapped bytes are the vocabulary's words at those places, byte for byte."""
+        size = end - start
+        out = (self.size[at] == size) & (self.head[at] == heads(mapped, start, end))
+        long = np.flatnonzero(out & (size > 8))
+        out[long] = same_stretches(mapped, start[long] + 8, self.bytes, self.start[at[long]] + 8, size[long] - 8)
+        return out
+
+    def symbols_of(self, value: np.ndarray, mapped: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The symbol of every word, 0 for words that are not in the vocabulary."""
+        if not len(self.vocabulary):
+            return np.zeros(len(value), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, value), len(self.vocabulary) - 1)
+        maybe = np.flatnonzero(self.vocabulary[at] == value)
+        out = np.zeros(len(value), np.int64)
+        out[maybe] = (at[maybe] + 1) * self._is(at[maybe], mapped, start[maybe], end[maybe])
+        return out
+
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of a symbol string in order, by prefix doubling over the groups still tied; boundaries (0) differ from
@@ -150,13 +176,12 @@ class FMIndex:
         return out
 
 
-def occurrences(value: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(symbol: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(word position, phrase) of every occurrence in a shard's words."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(value) or not len(phrases.owners):
+    if not len(symbol) or not len(phrases.owners):
         return none
-    at = np.minimum(np.searchsorted(phrases.vocabulary, value), len(phrases.vocabulary) - 1)
-    known = phrases.vocabulary[at] == value
+    known = symbol > 0
     first, last = known.copy(), known.copy()
     first[1:] &= ~known[:-1] | (row[1:] != row[:-1])
     last[:-1] &= ~known[1:] | (row[1:] != row[:-1])
@@ -168,7 +193,7 @@ def occurrences(value: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[n
     # The kept runs, each closed by a boundary, and the word that every symbol stands for.
     offset = np.cumsum(size + 1) - size - 1
     place = np.repeat(begin - offset, size + 1) + np.arange(int((size + 1).sum()))
-    s = at[np.minimum(place, len(at) - 1)] + 1
+    s = symbol[np.minimum(place, len(symbol) - 1)]
     s[offset + size] = 0
     index = FMIndex(s, len(phrases.vocabulary))
     lo, hi = index.count(phrases.symbols, phrases.length)
@@ -180,18 +205,27 @@ def occurrences(value: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[n
     return place[index.locate(rows)], which
 
 
-def _shard(buf: np.ndarray, off: np.ndarray, blocks: list[Phrases]) -> tuple[np.ndarray, np.ndarray, list[set], np.ndarray, np.ndarray, np.ndarray]:
+def _loaded(blocks: list) -> Iterator[Phrases]:
+    """The phrases of every broadcast block, one after the other; of several only one is held."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def _shard(buf: np.ndarray, off: np.ndarray, blocks: list) -> tuple[np.ndarray, np.ndarray, list[set], np.ndarray, np.ndarray, np.ndarray]:
     n = len(off) - 1
-    parts = [words(b, o, ALNUM) for _, _, b, o in chunks(buf, off)]
-    base = [(lo, off[lo]) for lo, _, _, _ in chunks(buf, off)]
-    value = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    start = np.concatenate([p[1] + o for p, (_, o) in zip(parts, base, strict=True)]) if parts else np.zeros(0, np.int64)
-    end = np.concatenate([p[2] + o for p, (_, o) in zip(parts, base, strict=True)]) if parts else np.zeros(0, np.int64)
-    row = np.concatenate([p[3] + lo for p, (lo, _) in zip(parts, base, strict=True)]) if parts else np.zeros(0, np.int64)
+    parts, mapped = [], []
+    for lo, _, b, o in chunks(buf, off):
+        value, start, end, row = words(b, o, ALNUM)
+        parts.append((value, start + off[lo], end + off[lo], row + lo))
+        mapped.append(ALNUM[b])
+    value, start, end, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    mapped = np.concatenate(mapped) if mapped else np.zeros(0, np.uint8)
     change = np.zeros(len(value) + 1, np.int64)
     items: list[set] = [set() for _ in range(n)]
-    for phrases in blocks:
-        place, which = occurrences(value, row, phrases)
+    for phrases in _loaded(blocks):
+        place, which = occurrences(phrases.symbols_of(value, mapped, start, end), row, phrases)
         np.add.at(change, place, 1)
         np.add.at(change, place + phrases.length[which], -1)
         for r, p in {(r, p) for r, p in zip(row[place].tolist(), which.tolist(), strict=True)}:
@@ -207,7 +241,14 @@ def _blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> lis
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-int(total) // BLOCK_BYTES))
     part = rows if n == 1 else rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    return [sc.broadcast(Phrases([(r["i"], r["t"]) for r in (part if n == 1 else part.filter(F.col("b") == k)).toLocalIterator()], width)) for k in range(n)]
+    out = []
+    for k in range(n):
+        own = part if n == 1 else part.filter(F.col("b") == k)
+        out.append(sc.broadcast(Phrases([(r["i"], r["t"]) for r in own.toLocalIterator()], width)))
+        if n > 1:
+            # The driver holds one block at a time; executors read it from the file.
+            out[-1].__dict__.pop("_value", None)
+    return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -220,15 +261,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     arrow_item = pa.list_(pa.int64() if item_type == T.LongType() else pa.int32() if item_type == T.IntegerType() else pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [b.value for b in blocks]
         for batch in batches:
-            for lo, hi, n_words, n_hit, items, spans in shards(batch.column(1), loaded):
+            for lo, hi, n_words, n_hit, items, spans in shards(batch.column(1), blocks):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(i) for i in items], arrow_item), pa.array(spans, arrow_span)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def shards(column: pa.Array, blocks: list[Phrases]) -> Iterator[tuple]:
+def shards(column: pa.Array, blocks: list) -> Iterator[tuple]:
     """(first row, end row, n_words, n_hit, item sets, span lists) for shards of a column; spans in bytes of the text."""
     buf, off = column_bytes(column)
     for lo, hi, b, o in chunks(buf, off, SHARD_BYTES):
@@ -258,10 +298,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
         return b"".join([*out, raw[done:]]).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [b.value for b in blocks]
         for batch in batches:
             texts: list = []
-            for lo, _, _, _, _, spans in shards(batch.column(at), loaded):
+            for lo, _, _, _, _, spans in shards(batch.column(at), blocks):
                 texts += [cut(batch.column(at)[lo + i].as_py(), s) for i, s in enumerate(spans)]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)

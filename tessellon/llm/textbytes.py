@@ -89,6 +89,30 @@ def block_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return mix(out + size.astype(np.uint64) * BASE)
 
 
+def heads(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each stretch, zeros behind its end."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at = np.ndarray((len(buf),), "<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    return at[start] & _LOW_BYTES[np.minimum(end - start, 8)]
+
+
+def same_stretches(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[start : start + size] == b[start : start + size], for arrays of places; every size is above 0."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+        n = size[lo:hi]
+        before = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(before, n)
+        differ = a[np.repeat(a_start[lo:hi], n) + inner] != b[np.repeat(b_start[lo:hi], n) + inner]
+        out[lo:hi] = np.add.reduceat(differ, before, dtype=np.int64) == 0
+        lo = hi
+    return out
+
+
 def table(is_word, lower: bool = True) -> np.ndarray:
     """256 entries: 0 for a delimiter, else the byte that stands for it (A-Z become a-z if lower)."""
     out = np.zeros(256, np.uint8)

@@ -277,3 +277,48 @@ def test_metric_search_in_shards_and_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(int(i), r, "e") for i, r in zip(ids, x.tolist())], "vec_id long, embedding array<double>, score string").repartition(3)
     got = metric_search.top_k(df, df.filter("vec_id % 50 = 0"), 5)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(x, ids, range(0, 2500, 50), 5)
+
+
+def plain_contamination(docs, bench, width=8):
+    def words(x):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(LOWER))
+
+    windows = {}
+    for item, x in bench:
+        w = words(x)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[i : i + width]), set()).add(item)
+    sizes, out = {len(k) for k in windows}, []
+    for doc, x in docs:
+        w = words(x)
+        hit, items = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (own := windows.get(tuple(w[i : i + n]))) is not None:
+                    hit.update(range(i, i + n))
+                    items |= own
+        listed = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(items), listed, len(items) >= 2))
+    return sorted(out, key=str)
+
+
+def test_op5_on_tables(spark, sf):
+    docs, bench = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = sorted((tuple(r) for r in contamination.op5_decontaminate(spark, sf).collect()), key=str)
+    assert got == plain_contamination(docs, bench) and any(r[2] for r in got)
+
+
+def test_words_are_compared_exactly_and_in_blocks(spark, monkeypatch):
+    """Thue-Morse words share any polynomial hash modulo 2**64; several blocks give what one gives; empty tables."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    bench = [(1, one), (2, "some words of the second item stand here"), (3, ""), (4, None), (5, other + " x")]
+    docs = [(1, other), (2, f"so {one.upper()} it is"), (3, "some words of the second item stand here, some words of"), (4, None), (5, ""), (6, f"{other} x")]
+    b = spark.createDataFrame([(i, t, "n") for i, t in bench], "item_id long, text string, spans string")
+    d = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, items int")
+    want = [r[:4] for r in plain_contamination(docs, bench)]
+    for size in (1 << 24, 100):
+        monkeypatch.setattr(contamination, "BLOCK_BYTES", size)
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in contamination.find_contamination(d, b).collect()]
+        assert sorted(got, key=str) == want and want[0][2] == 0 and want[1][2] == 1
+    assert contamination.find_contamination(d.limit(0), b).count() == 0
