@@ -168,7 +168,7 @@ class MergeAutomaton:
         whole = get(word)
         if whole is not None and (len(word) == 1 or whole in self.born):
             return [whole]
-        n, at, last, size, dead = len(word), 0, -1, 0, ()
+        n, at, last, size, dead = len(word), 0, -1, 0, set()
         ids, ends = [], []
         while at < n:
             if not size:
@@ -193,7 +193,7 @@ class MergeAutomaton:
             # No arc leads on from here: take the last arc back and try shorter ones.
             if not ids:
                 raise ValueError("the vocabulary has no token for a byte of the word")
-            dead = {at, *dead}
+            dead.add(at)
             ids.pop()
             ends.pop()
             begin = ends[-1] if ends else 0
@@ -203,7 +203,7 @@ class MergeAutomaton:
                 while not size:
                     if not ids:
                         raise ValueError("no path of arcs spells the word")
-                    dead = {at, *dead}
+                    dead.add(at)
                     ids.pop()
                     ends.pop()
                     begin = ends[-1] if ends else 0

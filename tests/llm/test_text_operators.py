@@ -322,3 +322,14 @@ def test_words_are_compared_exactly_and_in_blocks(spark, monkeypatch):
         got = [(r["doc_id"], r["n_words"], r["n_hit"], len(r["items"])) for r in contamination.find_contamination(d, b).collect()]
         assert sorted(got, key=str) == want and want[0][2] == 0 and want[1][2] == 1
     assert contamination.find_contamination(d.limit(0), b).count() == 0
+
+
+def test_long_words_take_linear_work():
+    """A text of a megabyte without a space, and runs that need going back, as the library encodes them."""
+    from tokenizers import Tokenizer
+
+    library, machine = Tokenizer.from_file(bpe.default_path()), bpe.automaton(bpe.default_path())
+    rng = np.random.default_rng(4)
+    for text in ("".join(map(chr, rng.integers(97, 123, 1_000_000))), "ab" * 100_000, "a" * 200_000, "日本語" * 30_000, "=-" * 100_000):
+        ids = machine.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids and machine.decode(ids) == text
