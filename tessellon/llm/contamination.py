@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from tessellon.llm.textbytes import ALNUM, chunks, column_bytes, heads, same_stretches, words
 
 WIDTH, SAMPLE = 8, 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 
@@ -288,9 +288,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
     blocks = _blocks(benchmark, width, item_id, item_text)
     at = docs.columns.index(text_col)
 
-    def cut(text: str | None, spans: list) -> str | None:
-        if not spans:
-            return text
+    def cut(text: str, spans: list) -> str:
         raw, out, done = text.encode(), [], 0
         for s in spans:
             out.append(raw[done : s["start"]])
@@ -299,12 +297,14 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list = []
-            for lo, _, _, _, _, spans in shards(batch.column(at), blocks):
-                texts += [cut(batch.column(at)[lo + i].as_py(), s) for i, s in enumerate(spans)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for lo, hi, _, _, _, spans in shards(batch.column(at), blocks):
+                # A shard leaves as soon as it is done; one without hits as it came.
+                part = batch.slice(lo, hi - lo)
+                if any(spans):
+                    columns = list(part.columns)
+                    columns[at] = pa.array([cut(t.as_py(), s) if s else t.as_py() for t, s in zip(columns[at], spans, strict=True)], columns[at].type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part
 
     out = docs.mapInArrow(run, docs.schema)
     if chars_col in docs.columns:

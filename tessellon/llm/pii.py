@@ -275,7 +275,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str | N
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 2000) for whole in batches for lo in range(0, whole.num_rows, 2000)):
             texts = b.column(at).to_pylist()
             found = spans_of([t or "" for t in texts], trees, thresholds)
             columns = list(b.columns)
