@@ -1,10 +1,4 @@
-"""Region, stencil, coverage, regridding and encoding queries over the derived points, with their SQL where it exists.
-
-Queries on adjacency carry the level-2 neighbour relation in their SQL as literal rows, so that the relational part is
-checked by another engine; the relation itself is checked by geometry in the tests. Their SQL leaves out cells by position
-so that the few cells of that level have gaps; the same queries over the whole table, at a level that has gaps by itself,
-are registered as whole_* and have no SQL.
-"""
+"""Region, stencil, coverage, regridding and encoding queries over the derived points, with their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -12,47 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessellon.functions import sphere
-from tessellon.operators import regions, regrid, spatial, stencils
+from tessellon.operators import regions, regrid, spatial
 from tessellon.plans.points import CUSTOMERS, HEALPIX, ORDERS, SUPPLIERS, _cells, _cells_sql, customers, healpix_sql, igeo7_of, located, orders, suppliers
 from tessellon.plans.registry import query
 from tessellon.sources import encodings
 from tessellon.systems import system
 
 A, B = _cells_sql(CUSTOMERS, 4), _cells_sql(SUPPLIERS, 4)
-
-
-def _adjacency_sql(level: int, connectivity: str = "vertex") -> str:
-    h = system(HEALPIX)
-    ring = h.one_ring(np.arange(1, h.ncells(level) + 1), level, connectivity)
-    rows = ", ".join(f"({p + 1},{k},{q})" for p, r in enumerate(ring) for k, q in enumerate(r[r > 0]))
-    return f"(SELECT * FROM (VALUES {rows}) t(pos, slot, nbr))"
-
-
-NBR = _adjacency_sql(2)
-FIELD = f"(SELECT pos, avg(value) AS z FROM ({healpix_sql(CUSTOMERS, 2)}) WHERE pos % 5 <> 0 GROUP BY pos)"
-REGION = f"(SELECT DISTINCT pos FROM ({healpix_sql(CUSTOMERS, 2)}) WHERE pos % 3 <> 0)"
-
-
-def _field(spark, sf_dir):
-    return located(customers(spark, sf_dir), 2).filter("pos % 5 <> 0").groupBy("pos").agg(F.avg("value").alias("z"))
-
-
-def _region(spark, sf_dir):
-    return _cells(spark, sf_dir, 2).filter("pos % 3 <> 0")
-
-
-#: Points repeat after lcm(36000, 20000) = 180 000 keys, so that the 196 608 cells of this level have gaps whatever the input.
-WHOLE = 7
-
-
-def _whole_field(spark, sf_dir):
-    return located(customers(spark, sf_dir), WHOLE).groupBy("pos").agg(F.avg("value").alias("z"))
-
-
-def _whole_region(spark, sf_dir):
-    return _cells(spark, sf_dir, WHOLE)
-
-
 _RUNS = f"SELECT min(pos) AS lo, max(pos) AS hi FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM ({A})) GROUP BY g"
 
 
@@ -114,202 +74,6 @@ def range_overlap(spark, sf_dir):
     return regions.intersect_ranges(regions.compress(_cells(spark, sf_dir, 4)), regions.compress(_cells(spark, sf_dir, 4, suppliers)))
 
 
-# --- topology ---------------------------------------------------------------------------------------------------
-
-
-@query("one_ring", f"SELECT pos, slot, nbr::BIGINT AS nbr FROM {NBR}")
-def one_ring(spark, sf_dir):
-    return regions.neighbour_relation(system(HEALPIX).levelgrid(spark, 2), HEALPIX, 2)
-
-
-@query("halo", f"SELECT DISTINCT nbr::BIGINT AS pos FROM {NBR} n JOIN {REGION} r USING (pos) WHERE nbr NOT IN (SELECT pos FROM {REGION})")
-def halo(spark, sf_dir):
-    return regions.halo(_region(spark, sf_dir), HEALPIX, 2)
-
-
-@query("border", f"SELECT DISTINCT r.pos FROM {NBR} n JOIN {REGION} r USING (pos) WHERE nbr NOT IN (SELECT pos FROM {REGION})")
-def border(spark, sf_dir):
-    return regions.border(_region(spark, sf_dir), HEALPIX, 2)
-
-
-@query("interior", f"SELECT pos FROM {REGION} EXCEPT SELECT DISTINCT r.pos FROM {NBR} n JOIN {REGION} r USING (pos) WHERE nbr NOT IN (SELECT pos FROM {REGION})")
-def interior(spark, sf_dir):
-    return regions.interior(_region(spark, sf_dir), HEALPIX, 2)
-
-
-@query("grow", f"WITH r AS (SELECT pos FROM {REGION} WHERE pos < 40), g AS (SELECT pos FROM r UNION SELECT nbr FROM {NBR} n JOIN r USING (pos)) SELECT pos::BIGINT AS pos FROM g UNION SELECT nbr::BIGINT FROM {NBR} n JOIN g USING (pos)")
-def grow(spark, sf_dir):
-    return regions.grow(_region(spark, sf_dir).filter("pos < 40"), HEALPIX, 2, 2)
-
-
-@query("adjacency_mark", f"WITH r AS (SELECT pos, row_number() OVER (ORDER BY pos) AS k FROM {REGION}) SELECT r.k AS row, n.slot, coalesce(q.k, 0) AS index FROM {NBR} n JOIN r USING (pos) LEFT JOIN r q ON q.pos = n.nbr")
-def adjacency_mark(spark, sf_dir):
-    return regions.adjacency(_region(spark, sf_dir), HEALPIX, 2, "mark")
-
-
-@query("adjacency_clipped", f"WITH r AS (SELECT pos, row_number() OVER (ORDER BY pos) AS k FROM {REGION}) SELECT r.k AS row, n.slot, q.k AS index FROM {NBR} n JOIN r USING (pos) JOIN r q ON q.pos = n.nbr")
-def adjacency_clipped(spark, sf_dir):
-    return regions.adjacency(_region(spark, sf_dir), HEALPIX, 2, 0)
-
-
-@query("adjacency_halo", f"WITH r AS (SELECT pos, row_number() OVER (ORDER BY pos) AS k FROM {REGION}), h AS (SELECT DISTINCT nbr AS pos FROM {NBR} n JOIN r USING (pos) WHERE nbr NOT IN (SELECT pos FROM r)), e AS (SELECT pos, k FROM r UNION ALL SELECT pos, row_number() OVER (ORDER BY pos) + (SELECT count(*) FROM r) FROM h) SELECT r.k AS row, n.slot, e.k::BIGINT AS index FROM {NBR} n JOIN r USING (pos) JOIN e ON e.pos = n.nbr")
-def adjacency_halo(spark, sf_dir):
-    return regions.adjacency(_region(spark, sf_dir), HEALPIX, 2, 1)
-
-
-@query("neighbors_k2")
-def neighbors_k2(spark, sf_dir):
-    return regions.neighbors(_whole_region(spark, sf_dir), HEALPIX, WHOLE, 2)
-
-
-# --- stencils ---------------------------------------------------------------------------------------------------
-
-_PAIRS = f"(SELECT f.pos, f.z, g.z AS zn FROM {FIELD} f JOIN {NBR} n USING (pos) JOIN {FIELD} g ON g.pos = n.nbr)"
-
-
-@query("smooth", f"SELECT pos, round((first(z) + sum(zn)) / (1 + count(*)), 6) AS z FROM {_PAIRS} GROUP BY pos")
-def smooth(spark, sf_dir):
-    return stencils.smooth(_field(spark, sf_dir), HEALPIX, 2, "z").withColumn("z", F.round("z", 6))
-
-
-@query("laplacian", f"SELECT pos, round(avg(zn) - first(z), 6) AS z FROM {_PAIRS} GROUP BY pos")
-def laplacian(spark, sf_dir):
-    return stencils.laplacian(_field(spark, sf_dir), HEALPIX, 2, "z").withColumn("z", F.round("z", 6))
-
-
-@query("terrain_tpi", f"SELECT pos, round(first(z) - avg(zn), 6) AS tpi FROM {_PAIRS} GROUP BY pos")
-def terrain_tpi(spark, sf_dir):
-    return stencils.topographic_position(_field(spark, sf_dir), HEALPIX, 2).withColumn("tpi", F.round("tpi", 6))
-
-
-@query("terrain_tri", f"SELECT pos, round(sqrt(sum((z - zn) * (z - zn))), 6) AS tri FROM {_PAIRS} GROUP BY pos")
-def terrain_tri(spark, sf_dir):
-    return stencils.ruggedness(_field(spark, sf_dir), HEALPIX, 2).withColumn("tri", F.round("tri", 6))
-
-
-@query("terrain_roughness", f"SELECT pos, round(max(abs(z - zn)), 6) AS roughness FROM {_PAIRS} GROUP BY pos")
-def terrain_roughness(spark, sf_dir):
-    return stencils.roughness(_field(spark, sf_dir), HEALPIX, 2).withColumn("roughness", F.round("roughness", 6))
-
-
-@query("terrain_prominence", f"SELECT pos, count(*) FILTER (WHERE zn <= z) AS prominence FROM {_PAIRS} GROUP BY pos")
-def terrain_prominence(spark, sf_dir):
-    return stencils.prominence(_field(spark, sf_dir), HEALPIX, 2)
-
-
-@query("terrain_slope")
-def terrain_slope(spark, sf_dir):
-    f = _whole_field(spark, sf_dir)
-    return stencils.slope_mdg(f, HEALPIX, WHOLE).join(stencils.plane_fit(f, HEALPIX, WHOLE).withColumnRenamed("slope", "fitted"), "pos").join(stencils.curvature(f, HEALPIX, WHOLE), "pos")
-
-
-@query("lowest_neighbor", f"SELECT f.pos, coalesce(p.nbr, 0)::BIGINT AS downhill FROM {FIELD} f LEFT JOIN (SELECT f.pos, arg_min(n.nbr, (g.z, n.nbr)) AS nbr FROM {FIELD} f JOIN {NBR} n USING (pos) JOIN {FIELD} g ON g.pos = n.nbr WHERE g.z < f.z GROUP BY f.pos) p USING (pos)")
-def lowest_neighbor(spark, sf_dir):
-    return stencils.lowest_neighbor(_field(spark, sf_dir), HEALPIX, 2).select("pos", F.coalesce("downhill", F.lit(0)).alias("downhill"))
-
-
-@query("flow_accumulation")
-def flow_accumulation(spark, sf_dir):
-    d = stencils.flow_direction(_whole_field(spark, sf_dir), HEALPIX, WHOLE)
-    return stencils.flow_accumulation(d).join(d, "pos")
-
-
-def _fold():
-    def fold(_pos, _own, near):
-        if not near:
-            return float("nan")
-        out = near[0]
-        for v in near[1:]:
-            out = out * 0.5 + v
-        return out
-
-    return fold
-
-
-@query("map_neighbors_callback", f"SELECT f.pos, round(list_reduce(list(g.z ORDER BY n.slot), lambda a, b: a * 0.5 + b), 6) AS result FROM {FIELD} f JOIN {NBR} n USING (pos) JOIN {FIELD} g ON g.pos = n.nbr GROUP BY f.pos")
-def map_neighbors_callback(spark, sf_dir):
-    """An arbitrary callback that depends on the ring's order."""
-    return stencils.map_neighbors_pandas(_field(spark, sf_dir), HEALPIX, 2, _fold(), "z").withColumn("result", F.round("result", 6))
-
-
-# --- topology and stencils over the whole table ---------------------------------------------------------------------
-
-
-@query("whole_halo")
-def whole_halo(spark, sf_dir):
-    return regions.halo(_whole_region(spark, sf_dir), HEALPIX, WHOLE)
-
-
-@query("whole_border")
-def whole_border(spark, sf_dir):
-    return regions.border(_whole_region(spark, sf_dir), HEALPIX, WHOLE)
-
-
-@query("whole_interior")
-def whole_interior(spark, sf_dir):
-    return regions.interior(_whole_region(spark, sf_dir), HEALPIX, WHOLE)
-
-
-@query("whole_grow")
-def whole_grow(spark, sf_dir):
-    return regions.grow(_whole_region(spark, sf_dir), HEALPIX, WHOLE, 2)
-
-
-@query("whole_adjacency_mark")
-def whole_adjacency_mark(spark, sf_dir):
-    return regions.adjacency(_whole_region(spark, sf_dir), HEALPIX, WHOLE, "mark")
-
-
-@query("whole_adjacency_clipped")
-def whole_adjacency_clipped(spark, sf_dir):
-    return regions.adjacency(_whole_region(spark, sf_dir), HEALPIX, WHOLE, 0)
-
-
-@query("whole_adjacency_halo")
-def whole_adjacency_halo(spark, sf_dir):
-    return regions.adjacency(_whole_region(spark, sf_dir), HEALPIX, WHOLE, 1)
-
-
-@query("whole_smooth")
-def whole_smooth(spark, sf_dir):
-    return stencils.smooth(_whole_field(spark, sf_dir), HEALPIX, WHOLE, "z").withColumn("z", F.round("z", 6))
-
-
-@query("whole_laplacian")
-def whole_laplacian(spark, sf_dir):
-    return stencils.laplacian(_whole_field(spark, sf_dir), HEALPIX, WHOLE, "z").withColumn("z", F.round("z", 6))
-
-
-@query("whole_terrain_tpi")
-def whole_terrain_tpi(spark, sf_dir):
-    return stencils.topographic_position(_whole_field(spark, sf_dir), HEALPIX, WHOLE).withColumn("tpi", F.round("tpi", 6))
-
-
-@query("whole_terrain_tri")
-def whole_terrain_tri(spark, sf_dir):
-    return stencils.ruggedness(_whole_field(spark, sf_dir), HEALPIX, WHOLE).withColumn("tri", F.round("tri", 6))
-
-
-@query("whole_terrain_roughness")
-def whole_terrain_roughness(spark, sf_dir):
-    return stencils.roughness(_whole_field(spark, sf_dir), HEALPIX, WHOLE).withColumn("roughness", F.round("roughness", 6))
-
-
-@query("whole_terrain_prominence")
-def whole_terrain_prominence(spark, sf_dir):
-    return stencils.prominence(_whole_field(spark, sf_dir), HEALPIX, WHOLE)
-
-
-@query("whole_lowest_neighbor")
-def whole_lowest_neighbor(spark, sf_dir):
-    return stencils.lowest_neighbor(_whole_field(spark, sf_dir), HEALPIX, WHOLE).select("pos", F.coalesce("downhill", F.lit(0)).alias("downhill"))
-
-
-@query("whole_map_neighbors_callback")
-def whole_map_neighbors_callback(spark, sf_dir):
-    return stencils.map_neighbors_pandas(_whole_field(spark, sf_dir), HEALPIX, WHOLE, _fold(), "z").withColumn("result", F.round("result", 6))
-
-
 # --- coverage and predicates --------------------------------------------------------------------------------------
 
 BOX = (-30.0, 40.0, -20.0, 35.0)

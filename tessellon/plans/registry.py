@@ -29,7 +29,7 @@ def _load() -> None:
         import_module(f"tessellon.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("points", "grids")
+MODULES: tuple[str, ...] = ("points", "grids", "topology")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -156,28 +156,43 @@ class GridSystem:
         """Breadth-first shells; from the second on wound by azimuth about the cell, starting on the first spoke."""
         if k < 0:
             raise ValueError("the number of steps is negative")
-        out = []
-        for p in np.asarray(pos, np.int64):
-            seen, last, shells = {int(p)}, np.array([p]), []
-            centre, spoke = None, 0.0
-            for step in range(k):
-                ring = self.one_ring(last, level, connectivity)
-                new = list(dict.fromkeys(int(q) for q in ring.ravel() if q and int(q) not in seen))
-                if not new:
-                    break
-                if step == 0:
-                    shell = np.array(new)
-                    centre = self.centroid(np.array([p]), level)[0]
-                    spoke = float(sphere.azimuth(centre, self.centroid(shell[:1], level))[0])
-                else:
-                    shell = np.array(new)
-                    phase = np.mod(sphere.azimuth(centre, self.centroid(shell, level)) - spoke, 2 * np.pi)
-                    phase = np.where(phase > 2 * np.pi - 1e-9, 0.0, phase)
-                    shell = shell[np.lexsort((shell, phase))]
-                seen.update(new)
-                shells.append(shell)
-                last = shell
-            out.append(shells)
+        pos = np.asarray(pos, np.int64)
+        out: list[list[np.ndarray]] = [[] for _ in pos]
+        row = seen_row = np.arange(len(pos))
+        last = seen = pos
+        centre = spoke = None
+        for step in range(k):
+            if not len(last):
+                break
+            ring = self.one_ring(last, level, connectivity)
+            own, cell = np.repeat(row, ring.shape[1]), ring.ravel()
+            own, cell = own[cell > 0], cell[cell > 0]
+            # Pairs of row and cell as single numbers; new ones in the order in which they are first met.
+            _, code = np.unique(np.concatenate([seen, cell]), return_inverse=True)
+            key = np.concatenate([seen_row, own]) * (len(code) + 1) + code
+            fresh = np.flatnonzero(~np.isin(key[len(seen) :], key[: len(seen)]))
+            _, first = np.unique(key[len(seen) :][fresh], return_index=True)
+            at = fresh[np.sort(first)]
+            own, cell = own[at], cell[at]
+            if not len(cell):
+                break
+            if step == 0:
+                order = np.argsort(own, kind="stable")
+                own, cell = own[order], cell[order]
+                centre = self.centroid(pos, level)
+                spoke = np.zeros(len(pos))
+                head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                spoke[own[head]] = sphere.azimuth(centre[own[head]], self.centroid(cell[head], level))
+            else:
+                phase = np.mod(sphere.azimuth(centre[own], self.centroid(cell, level)) - spoke[own], 2 * np.pi)
+                phase = np.where(phase > 2 * np.pi - 1e-9, 0.0, phase)
+                order = np.lexsort((cell, phase, own))
+                own, cell = own[order], cell[order]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for r, shell in zip(own[begin].tolist(), np.split(cell, begin[1:]), strict=True):
+                out[r].append(shell)
+            seen_row, seen = np.concatenate([seen_row, own]), np.concatenate([seen, cell])
+            row, last = own, cell
         return out
 
     # --- Columns -----------------------------------------------------------------------------------------------
