@@ -36,7 +36,7 @@ LENGTH, K = 50, 12
 #: Bytes of text whose fragments one bucket should hold, and bytes of text that one batch gathers before it sends.
 BUCKET_BYTES, BATCH_BYTES = 8 << 20, 16 << 20
 #: Bytes of fragments whose suffixes are hashed and sorted at a time; one least hash with more is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def _decide(data: np.ndarray, lens: np.ndarray, anchor: np.ndarray, smallest: np
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 5)
+    return zstandard.compress(pickle.dumps(arrays, 5), 3)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
