@@ -100,14 +100,27 @@ def compress(region: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def with_offsets(ranges: DataFrame) -> DataFrame:
-    """(lo, hi, offset): the number of cells in the ranges before, block by block."""
-    bits = 2 * BLOCK_BITS
-    r = ranges.select("lo", "hi").withColumn("b", F.shiftright("lo", bits))
-    totals = r.groupBy("b").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
-    starts = totals.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("start"))
-    w = Window.partitionBy("b").orderBy("lo")
-    within = r.withColumn("before", F.sum(F.col("hi") - F.col("lo") + 1).over(w) - (F.col("hi") - F.col("lo") + 1))
-    return within.join(starts, "b").select("lo", "hi", (F.col("before") + F.col("start")).alias("offset"))
+    """(lo, hi, offset): the number of cells in the ranges before.
+
+    Counts are summed up in blocks of 2^16 positions, these in blocks of blocks, and so once more, so that no window holds
+    more than 2^16 rows, whatever the number of ranges.
+    """
+    cells = F.col("hi") - F.col("lo") + 1
+    names = [f"b{k}" for k in (1, 2, 3)]
+    r = ranges.select("lo", "hi", *(F.shiftright("lo", k * BLOCK_BITS).alias(n) for k, n in enumerate(names, 1)))
+    counts = r.groupBy(*names).agg(F.sum(cells).alias("n"))
+    start = None
+    for k, name in enumerate(names):
+        # Within a block of the next size, the cells before each block of this one.
+        above = names[k + 1 :]
+        rows = counts.groupBy(name, *above).agg(F.sum("n").alias("n")) if k else counts
+        w = (Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))).orderBy(name)
+        before = rows.select(name, *above, (F.sum("n").over(w) - F.col("n")).alias(f"s{k}"))
+        start = before if start is None else start.join(before.select(name, f"s{k}"), name)
+    starts = start.select("b1", (F.col("s0") + F.col("s1") + F.col("s2")).alias("start"))
+    w = Window.partitionBy("b1").orderBy("lo")
+    within = r.withColumn("before", F.sum(cells).over(w) - cells)
+    return within.join(starts, "b1").select("lo", "hi", (F.col("before") + F.col("start")).alias("offset"))
 
 
 def prefers_ranges(region: DataFrame) -> bool:

@@ -37,6 +37,9 @@ class Target:
     parts: list[list[np.ndarray]] = field(default_factory=list)
     centre: np.ndarray | None = None
     radius: float = 0.0
+    #: A box of more than a quarter of all longitudes, in degrees: it may hold more than a hemisphere, so that the area of
+    #: its ring does not tell its inside; the degrees do.
+    wide: tuple[float, float, float, float] | None = None
 
     def __post_init__(self):
         if self.kind == "cap":
@@ -49,8 +52,10 @@ class Target:
         if self.radius >= np.pi / 2:
             self.radius = np.pi
         if self.kind == "polygon":
-            # Exteriors counter-clockwise, holes clockwise.
-            self.parts = [[_wound(r, k == 0) for k, r in enumerate(p)] for p in self.parts]
+            # Exteriors counter-clockwise, holes clockwise; wide boxes are made so.
+            if self.wide is not None:
+                self.radius = np.pi
+            self.parts = self.parts if self.wide is not None else [[_wound(r, k == 0) for k, r in enumerate(p)] for p in self.parts]
         rings = [r for p in self.parts for r in p]
         if self.kind == "polygon":
             self.a = np.concatenate(rings)
@@ -66,6 +71,8 @@ class Target:
             return (d <= self.radius).astype(int)
         if self.kind != "polygon":
             return np.zeros(len(p), int)
+        if self.wide is not None:
+            return _in_box(p, self.a, self.b, self.wide)
         out = np.zeros(len(p), int)
         for part in self.parts:
             state = np.stack([sphere.point_in_ring(r if k == 0 else r[::-1], p) for k, r in enumerate(part)])
@@ -75,6 +82,23 @@ class Target:
         return out
 
 
+def _in_box(p: np.ndarray, a: np.ndarray, b: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """1, 0 or -1 (on the border) by degrees; near a parallel by the side of the border's arc, which runs off it."""
+    x0, x1, y0, y1 = box
+    lon, lat = sphere.lonlat(p)
+    along = np.mod(lon - x0, 360.0)
+    # The arc between two points of a parallel rises towards the pole: its latitude at a longitude, from the middle's.
+    steps = max(2, int((x1 - x0) / BOX_STEP) + 2) - 1
+    width = np.radians((x1 - x0) / steps)
+    off = np.radians(np.mod(along, (x1 - x0) / steps)) - width / 2
+    low, high = (np.degrees(np.arctan(np.tan(np.radians(y)) * np.cos(off) / np.cos(width / 2))) if abs(y) < 90 else np.full(len(p), y * 2.0) for y in (y0, y1))
+    out = ((along < x1 - x0) & (along > 0) & (lat > low) & (lat < high)).astype(int)
+    tol = 1e-10
+    side = ((np.abs(along) < tol) | (np.abs(along - (x1 - x0)) < tol) | (np.abs(along - 360) < tol)) & (lat >= low - tol) & (lat <= high + tol)
+    edge = (along <= x1 - x0 + tol) & ((np.abs(lat - low) < tol) | (np.abs(lat - high) < tol))
+    return np.where((side | edge) & (np.abs(lat) < 90), -1, out)
+
+
 def _wound(ring: np.ndarray, ccw: bool) -> np.ndarray:
     if len(ring) > 1 and np.allclose(ring[0], ring[-1], atol=1e-15):
         ring = ring[:-1]
@@ -102,7 +126,7 @@ def box(x0: float, x1: float, y0: float, y1: float) -> Target:
 
     lon = np.concatenate([side(x0, x1), np.full(len(side(y0, y1)), x1), side(x1, x0), np.full(len(side(y1, y0)), x0)])
     lat = np.concatenate([np.full(len(side(x0, x1)), y0), side(y0, y1), np.full(len(side(x1, x0)), y1), side(y1, y0)])
-    return Target("polygon", [[sphere.unit_point(lon, lat)]])
+    return Target("polygon", [[sphere.unit_point(lon, lat)]], wide=(x0, x1, y0, y1) if x1 - x0 > 90 else None)
 
 
 def polygon(*rings) -> Target:
@@ -143,8 +167,12 @@ def relate(s: GridSystem, pos: np.ndarray, level: int, target: Target) -> pd.Dat
     if target.kind == "cap":
         d = sphere.distance(centre, target.centre)
         # The nearest and farthest points of the ring from the cap's centre.
-        near, far = np.empty(n), np.empty(n)
-        for i in range(n):
+        near, far = np.zeros(n), np.zeros(n)
+        reach = np.nanmax(sphere.distance(rings, centre[:, None]), 1) * sphere.CAP_SLACK
+        apart = d > target.radius + reach
+        near[apart], far[apart] = 10.0, 10.0
+        # Cells that the cap's border may pass; the others are apart from it or within.
+        for i in np.flatnonzero(~apart & ~(d + reach < target.radius)):
             r = rings[i][~np.isnan(rings[i][:, 0])]
             near[i] = sphere.arc_distance(r, np.roll(r, -1, axis=0), target.centre[None]).min()
             far[i] = np.pi - sphere.arc_distance(r, np.roll(r, -1, axis=0), -target.centre[None]).min()
@@ -155,7 +183,19 @@ def relate(s: GridSystem, pos: np.ndarray, level: int, target: Target) -> pd.Dat
         return pd.DataFrame({"meets": meets, "touches": meets & (near == target.radius), "within": within, "holds": holds_centre & (near >= target.radius), "border": meets & ~within})
     meets, within, holds, border, edge = (np.zeros(n, bool) for _ in range(5))
     state = target.holds(centre)
-    for i in range(n):
+    todo = range(n)
+    if target.kind != "point" and n:
+        # Cells whose cap is clear of the target's border lie within it or apart from it, as their centre does.
+        reach = np.nanmax(sphere.distance(rings, centre[:, None]), 1)
+        near = np.empty(n)
+        step = max(1, 4_000_000 // (8 * len(target.a)))
+        for lo in range(0, n, step):
+            near[lo : lo + step] = sphere.arc_distance(target.a, target.b, centre[lo : lo + step]).min(1)
+        clear = near > reach * sphere.CAP_SLACK
+        meets[clear] = state[clear] != 0
+        within[clear] = (state[clear] == 1) & (target.kind == "polygon")
+        todo = np.flatnonzero(~clear)
+    for i in todo:
         r = rings[i][~np.isnan(rings[i][:, 0])]
         nxt = np.roll(r, -1, axis=0)
         if target.kind == "point":

@@ -62,6 +62,40 @@ def test_polygon_query_against_every_cell(spark):
         Q.query(spark, "IGeo7", target, "crosses", 3)
 
 
+def test_wide_boxes_hold_the_cells_whose_centres_they_hold():
+    for name, level in (("HEALPix", 3), ("S2", 3), ("IGeo7", 2)):
+        s = system(name)
+        every = np.arange(1, s.ncells(level) + 1)
+        centre = s.centroid(every, level)
+        lon, lat = sphere.lonlat(centre)
+        reach = np.degrees(np.nanmax(sphere.distance(s.boundary(every, level), centre[:, None]), 1).max())
+        for x0, x1, y0, y1 in ((-170, 170, -60, 60), (-179, 179, -89, 89), (10, 200, -30, 30), (-100, 20, 10, 80), (-60, 40, -20, 50)):
+            along = np.mod(lon - x0, 360)
+            inside = (along < x1 - x0) & (lat > y0) & (lat < y1)
+            target = Q.box(x0, x1, y0, y1)
+            found = Q.matches(s, every, level, target, "intersects")
+            # Arcs between the points of a parallel run off it by less than this.
+            off = 0.05
+            sure = inside & (lat > y0 + off) & (lat < y1 - off)
+            assert found[sure].all()
+            far = (lat > y1 + reach + off) | (lat < y0 - reach - off) | ((np.abs(lat) < 60) & (along > x1 - x0 + 2.2 * reach) & (along < 360 - 2.2 * reach))
+            assert not found[far].any()
+            within = Q.matches(s, every, level, target, "within")
+            assert not (within & ~inside).any() and (within <= found).all()
+
+
+def test_offsets_of_scattered_ranges(spark):
+    """Runs in many blocks of all sizes."""
+    rng = np.random.default_rng(7)
+    lo = np.unique(np.concatenate([rng.integers(0, 1 << 62, 200), rng.integers(0, 1 << 34, 200), rng.integers(0, 1 << 17, 50)])) & ~np.int64(7)
+    lo = np.unique(lo)
+    hi = lo + rng.integers(0, 6, len(lo))
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(lo, hi)], "lo long, hi long").repartition(5)
+    got = sorted((r.lo, r.hi, r.offset) for r in R.with_offsets(df).collect())
+    before = np.cumsum(hi - lo + 1) - (hi - lo + 1)
+    assert got == list(zip(lo.tolist(), hi.tolist(), before.tolist()))
+
+
 def test_coverage_modes(spark):
     target = Q.cap(10, 40, 9)
     c = Q.coverage("HEALPix", target, level=6)
