@@ -167,7 +167,7 @@ def chunk_level(sys: str | GridSystem, level: int, cells: int = 4096) -> int:
 
 @dataclass
 class Plan:
-    """weights (dst, src, w) and, where the method has them, denominators (dst, denom)."""
+    """weights (dst, src, w), and denominators (dst, total): the reference weights that policies compare with."""
 
     weights: DataFrame
     denominators: DataFrame | None
@@ -176,16 +176,24 @@ class Plan:
     method: str
 
     def persist(self) -> Plan:
-        self.weights = self.weights.persist()
+        self.weights, self.denominators = self.weights.persist(), self.denominators.persist()
         return self
 
     def spill(self, path: str) -> Plan:
-        """Weights written once and read from there from now on; partitioned by destination range."""
+        """Weights written once and read from there from now on, in destination ranges; denominators beside them."""
+        spark, beside = self.weights.sparkSession, f"{path.rstrip('/')}.denominators"
         self.weights.repartitionByRange("dst").write.mode("errorifexists").parquet(path)
-        self.weights = self.weights.sparkSession.read.parquet(path)
+        self.weights = spark.read.parquet(path)
+        denominators_of(self.weights).write.mode("errorifexists").parquet(beside)
+        self.denominators = spark.read.parquet(beside)
         return self
 
 
+def denominators_of(weights: DataFrame) -> DataFrame:
+    """(dst, total): each cell's reference weight, from the weights alone."""
+    return weights.groupBy("dst").agg(F.sum("w").alias("total"))
+
+
 def _bins(space: Space, level: int, margin: float):
     """Listing of cells under every coarse pixel whose cap meets theirs."""
     grid = HEALPix()
@@ -307,7 +315,7 @@ def plan_regrid(spark: SparkSession, source: Space, destination, method: str = "
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     destination = as_space(destination, level, source)
     weights = METHODS[method](spark, source, destination)
-    return Plan(weights, None, source, destination, method)
+    return Plan(weights, denominators_of(weights), source, destination, method)
 
 
 # --- application --------------------------------------------------------------------------------------------------
@@ -353,7 +361,7 @@ def regrid(data: DataFrame, plan: Plan, policy=None, pos: str = "pos", value: st
     policy = policy or weighted()
     v = F.col(value).cast("double")
     src = data.select(F.col(pos).alias("src"), *dims, F.when(_valid(v, sentinel), v).alias("v"))
-    total = plan.weights.groupBy("dst").agg(F.sum("w").alias("total"))
+    total = denominators_of(plan.weights) if plan.denominators is None else plan.denominators
     sums = plan.weights.join(src, "src").groupBy("dst", *dims).agg(F.sum(F.col("w") * F.col("v")).alias("num"), F.sum(F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0.0)).alias("cover"))
     cells = plan.destination.cells(data.sparkSession).withColumnRenamed("pos", "dst")
     if dims:

@@ -129,19 +129,52 @@ def regrid_conservative(spark, sf_dir):
     return regrid.regrid(_on_raster(spark, sf_dir), plan)
 
 
-@query("regrid_bilinear")
+def _fine() -> regrid.RasterGrid:
+    """Every cell of _raster() in four."""
+    return regrid.RasterGrid(np.linspace(-180, 180, 49), np.linspace(-90, 90, 25))
+
+
+def _whole_on_raster(spark, sf_dir, *dims):
+    """Whole numbers, so that sums do not depend on their order."""
+    at = _raster().locate_col(F.col("lon"), F.col("z") * 90).alias("pos")
+    return orders(spark, sf_dir).withColumn("part", F.col("key") % 3).groupBy(at, *dims).agg(F.floor(F.max("value")).cast("double").alias("value"))
+
+
+_AT = "(floor((lon + 180) / 15::DOUBLE) + floor((z * 90 + 90) / 15::DOUBLE) * 24)::BIGINT"
+_FINE_SQL = "SELECT p + 1 AS pos, p % 48 AS i, p // 48 AS j FROM (SELECT unnest(range(0, 1152)) AS p)"
+_SRC_SQL = f"SELECT {_AT} % 24 AS x, {_AT} // 24 AS y, floor(max(value)) AS value FROM ({ORDERS}) GROUP BY 1, 2"
+# A fine centre lies a quarter of a cell from its own source cell's centre, towards the neighbour on its side.
+_TAPS_SQL = "SELECT pos, ((i // 2 + CASE WHEN a = 0 THEN 0 WHEN i % 2 = 0 THEN -1 ELSE 1 END) % 24 + 24) % 24 AS x, least(11, greatest(0, j // 2 + CASE WHEN b = 0 THEN 0 WHEN j % 2 = 0 THEN -1 ELSE 1 END)) AS y, CASE WHEN a = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END * CASE WHEN b = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS w FROM fine, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(a, b)"
+
+
+@query("regrid_bilinear", f"WITH fine AS ({_FINE_SQL}), src AS ({_SRC_SQL}), taps AS ({_TAPS_SQL}), s AS (SELECT pos, sum(w * value) AS num, sum(w) AS cover FROM taps JOIN src USING (x, y) GROUP BY pos) SELECT pos, CASE WHEN cover >= 0.5 THEN round(num / cover, 6) END AS value FROM fine LEFT JOIN s USING (pos)")
 def regrid_bilinear(spark, sf_dir):
+    plan = regrid.plan_regrid(spark, _raster(), _fine(), "bilinear")
+    return regrid.regrid(_whole_on_raster(spark, sf_dir), plan).withColumn("value", F.round("value", 6))
+
+
+@query("regrid_bilinear_sphere")
+def regrid_bilinear_sphere(spark, sf_dir):
     return regrid.regrid(_on_raster(spark, sf_dir), regrid.plan_regrid(spark, _raster(), HEALPIX, "bilinear", 3))
 
 
+@query("regrid_extensive", f"WITH fine AS ({_FINE_SQL}), src AS ({_SRC_SQL}) SELECT f.pos, coalesce(s.value, 0)::DOUBLE AS value FROM fine f LEFT JOIN src s ON s.x = f.i // 2 AND s.y = f.j // 2")
+def regrid_extensive(spark, sf_dir):
+    return regrid.regrid(_whole_on_raster(spark, sf_dir), regrid.plan_regrid(spark, _raster(), _fine(), "nearest"), regrid.extensive())
+
+
+@query("regrid_slices", f"WITH fine AS ({_FINE_SQL}), src AS (SELECT {_AT} % 24 AS x, {_AT} // 24 AS y, key % 3 AS part, floor(max(value)) AS value FROM ({ORDERS}) GROUP BY 1, 2, 3) SELECT f.pos, p.part, s.value FROM fine f CROSS JOIN (SELECT DISTINCT part FROM src) p LEFT JOIN src s ON s.x = f.i // 2 AND s.y = f.j // 2 AND s.part = p.part")
+def regrid_slices(spark, sf_dir):
+    return regrid.regrid(_whole_on_raster(spark, sf_dir, "part"), regrid.plan_regrid(spark, _raster(), _fine(), "nearest"), dims=("part",))
+
+
 @query("regrid_nearest", """
 WITH src AS (SELECT floor((lon + 180) / 15::DOUBLE) + floor((z * 90 + 90) / 15::DOUBLE) * 24 + 1 AS pos, avg(value) AS value FROM (""" + ORDERS + """) GROUP BY 1),
 dst AS (SELECT unnest(range(1, 1153)) AS pos)
 SELECT d.pos, round(s.value, 6) AS value FROM dst d LEFT JOIN src s ON s.pos = ((d.pos - 1) % 48) // 2 + (((d.pos - 1) // 48) // 2) * 24 + 1
 """)
 def regrid_nearest(spark, sf_dir):
-    fine = regrid.RasterGrid(np.linspace(-180, 180, 49), np.linspace(-90, 90, 25))
-    return regrid.regrid(_on_raster(spark, sf_dir), regrid.plan_regrid(spark, _raster(), fine, "nearest")).withColumn("value", F.round("value", 6))
+    return regrid.regrid(_on_raster(spark, sf_dir), regrid.plan_regrid(spark, _raster(), _fine(), "nearest")).withColumn("value", F.round("value", 6))
 
 
 @query("sampling_pyramid")

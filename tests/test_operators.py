@@ -130,6 +130,16 @@ def test_policies(spark):
         G.RasterGrid([0, 1, 1], [0, 1])
 
 
+def test_plans_store_their_denominators(spark, tmp_path):
+    plan = G.plan_regrid(spark, G.RasterGrid([0, 10, 20], [0, 10]), G.RasterGrid([0, 20], [0, 10]), "conservative")
+    data = spark.createDataFrame([(1, 2.0), (2, None)], "pos long, value double")
+    before = G.regrid(data, plan, G.weighted(0.4)).collect()
+    total = {r.dst: r.total for r in plan.denominators.collect()}
+    plan.spill(str(tmp_path / "plan"))
+    assert {r.dst: r.total for r in plan.denominators.collect()} == total and G.regrid(data, plan, G.weighted(0.4)).collect() == before
+    assert total[1] == pytest.approx(sum(r.w for r in plan.weights.collect()))
+
+
 def test_regrid_keeps_every_slice(spark):
     """More slices than the 1 << 20 that the frame once held, and the NULL slice; slices without a value get their blank rows."""
     plan = G.plan_regrid(spark, G.RasterGrid([0, 10, 20], [0, 10]), G.RasterGrid([0, 20], [0, 10]), "conservative")
