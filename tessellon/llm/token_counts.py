@@ -1,10 +1,11 @@
 """Edit-aware token counts.
 
-A document's pre-split words stand in the leaves of a segment tree that sums their chars and tokens. An edit descends
-by char sums to the first word that it may touch (words end at a place only after seeing up to CONTEXT chars beyond it),
-splits the changed text anew from there until a boundary falls on an old one behind the edit, encodes just those words
-and repairs the sums above the leaves it changed. From such a boundary on the old split holds, as the pattern never
-looks back. Counts follow the byte-level vocabulary with special strings taken as ordinary text.
+A document's pre-split words stand, with their text, in the leaves of a segment tree whose nodes sum chars, tokens and
+words; nodes have up to 2 * FAN children, so that leaves may come and go. An edit descends by char sums to the first
+word that it may touch (words end at a place only after seeing up to CONTEXT chars beyond it), splits the changed text
+anew from there until a boundary falls on an old one behind the edit, encodes just those words, puts leaves for them in
+place of the leaves it went through and updates the sums above. From such a boundary on the old split holds, as the
+pattern never looks back. Text away from the edit is neither read nor copied. Counts follow the byte-level vocabulary with special strings taken as ordinary text.
 
 Defined cases: a null text counts as empty; null or empty edits change nothing; edits apply in the order listed, each
 to the text as it then is, and places beyond the text are taken as its end (an end before its start as the start);
@@ -22,105 +23,187 @@ from pyspark.sql import types as T
 
 from tessellon.llm.bpe import CACHE_WORDS, FAST_ONLY, FAST_SPLIT, SPLIT, MergeAutomaton, automaton, default_path, split
 
-#: Words of a leaf when built, and the most before it is split; chars beyond its end that may decide a word.
-LEAF, MOST, CONTEXT = 32, 96, 2
+#: Words of a leaf when built, and the most before it is split; children of a node when built; chars beyond its end that
+#: may decide a word; chars behind an edit that are looked at first.
+LEAF, MOST, FAN, CONTEXT, AHEAD = 32, 96, 32, 2, 64
+
+
+class Node:
+    """kids: nodes, or the (chars, tokens) of a leaf's words; with the sums over them."""
+
+    __slots__ = ("kids", "text", "chars", "tokens", "words", "leaves")
+
+    def __init__(self, kids: list, text: str | None = None):
+        self.kids, self.text = kids, text
+        self.sum_up()
+
+    def sum_up(self) -> None:
+        kids = self.kids
+        if self.text is not None:
+            self.chars, self.tokens, self.words, self.leaves = len(self.text), sum([t for _, t in kids]), len(kids), 1
+        else:
+            self.chars, self.tokens = sum([k.chars for k in kids]), sum([k.tokens for k in kids])
+            self.words, self.leaves = sum([k.words for k in kids]), sum([k.leaves for k in kids])
+
+    def replace(self, lo: int, hi: int, new: list[Node]) -> None:
+        """Puts new leaves in place of the leaves lo..hi under this inner node, and sums up along the way."""
+        kids = self.kids
+        if kids[0].text is not None:
+            kids[lo:hi] = new
+        else:
+            i = before = 0
+            while lo >= before + kids[i].leaves:
+                before += kids[i].leaves
+                i += 1
+            j, behind = i, before
+            while hi > behind + kids[j].leaves:
+                behind += kids[j].leaves
+                j += 1
+            if i == j:
+                kids[i].replace(lo - before, hi - before, new)
+            else:
+                kids[i].replace(lo - before, kids[i].leaves, new)
+                kids[j].replace(0, hi - behind, [])
+            touched = [kids[i]] if i == j else [kids[i], kids[j]]
+            kids[i : j + 1] = [part for k in touched if k.kids for part in (parted(k.kids) if len(k.kids) > 2 * FAN else [k])]
+        self.sum_up()
+
+
+def parted(nodes: list[Node]) -> list[Node]:
+    return [Node(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
+
+
+def tree_of(nodes: list[Node]) -> Node:
+    while len(nodes) > 1:
+        nodes = parted(nodes)
+    return nodes[0] if nodes else Node([], "")
+
+
+def leaves_of(words: list[tuple[int, int]], text: str) -> list[Node]:
+    if not words:
+        return []
+    if len(words) <= MOST:
+        return [Node(words, text)]
+    out, at = [], 0
+    for i in range(0, len(words), LEAF):
+        part = words[i : i + LEAF]
+        end = at + sum([c for c, _ in part])
+        out.append(Node(part, text[at:end]))
+        at = end
+    return out
 
 
 class TokenTree:
     def __init__(self, text: str, machine: MergeAutomaton):
-        self.text, self.machine, self.encoded = text, machine, 0
+        self.machine, self.encoded = machine, 0
         memo = machine.memo
-        pairs = [(len(w), len(memo[w]) >> 2) for w in split(text)]
-        self.leaves = [pairs[i : i + LEAF] for i in range(0, len(pairs), LEAF)]
-        self._build()
-
-    def _build(self) -> None:
-        self.size = 1
-        while self.size < len(self.leaves):
-            self.size *= 2
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i] = sum(c for c, _ in leaf)
-            self.tokens[self.size + i] = sum(t for _, t in leaf)
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-
-    def _repair(self, leaf: int) -> None:
-        i = self.size + leaf
-        self.chars[i] = sum(c for c, _ in self.leaves[leaf])
-        self.tokens[i] = sum(t for _, t in self.leaves[leaf])
-        i //= 2
-        while i:
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-            i //= 2
+        self.root = tree_of(leaves_of([(len(w), len(memo[w]) >> 2) for w in split(text)], text))
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens
 
     @property
     def words(self) -> int:
-        return sum(map(len, self.leaves))
+        return self.root.words
+
+    @property
+    def text(self) -> str:
+        return "".join(leaf.text for leaf in self._from(0))
 
     def _find(self, place: int) -> tuple[int, int]:
-        """(leaf, chars before it) of the leaf that holds the char at place, or the last one."""
-        i, before = 1, 0
-        while i < self.size:
-            i *= 2
-            if before + self.chars[i] <= place and self.chars[i + 1]:
-                before += self.chars[i]
-                i += 1
-        return i - self.size, before
+        """(leaf number, chars before it) of the leaf that holds the char at place, or the last one."""
+        node, number, before = self.root, 0, 0
+        while node.text is None:
+            for k in node.kids[:-1]:
+                if before + k.chars > place:
+                    node = k
+                    break
+                before += k.chars
+                number += k.leaves
+            else:
+                node = node.kids[-1]
+        return number, before
+
+    def _from(self, number: int, node: Node | None = None) -> Iterator[Node]:
+        """The leaves from a number on."""
+        node = node or self.root
+        if node.text is not None:
+            yield node
+            return
+        for k in node.kids:
+            if number < k.leaves:
+                yield from self._from(max(0, number), k)
+            number -= k.leaves
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace text[start:end] by new."""
-        n = len(self.text)
+        n = self.root.chars
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
         if start == end and not new:
             return
-        text = self.text = self.text[:start] + new + self.text[end:]
+        first, before = self._find(max(0, start - CONTEXT))
+        more, held, old = self._from(first), [], ""
+
+        def take(chars: int) -> str:
+            """The text of further leaves with so many chars, or of all."""
+            out = ""
+            while len(out) < chars and (leaf := next(more, None)) is not None:
+                held.append(leaf)
+                out += leaf.text
+            return out
+
+        old = take(end - before + AHEAD)
+        ended = len(old) < end - before + AHEAD
+        start, end = start - before, end - before
+        # From here on places count from the first leaf held; `window` is its text and what follows, after the edit.
+        window = old[:start] + new + old[end:]
         delta, clean = len(new) - (end - start), start + len(new)
-        if not self.leaves:
-            self.leaves = [[]]
-            self._build()
-        # The first word that ends less than CONTEXT chars before the edit.
-        leaf, before = self._find(max(0, start - CONTEXT))
-        at, word = before, 0
-        while word < len(self.leaves[leaf]) and at + self.leaves[leaf][word][0] + CONTEXT <= start:
-            at += self.leaves[leaf][word][0]
+        leaf = word = at = 0
+        while held[0].kids and word < len(held[0].kids) and at + held[0].kids[word][0] + CONTEXT <= start:
+            at += held[0].kids[word][0]
             word += 1
-        first, head = leaf, self.leaves[leaf][:word]
-        # Split anew until a boundary falls on an old one behind the edit; `old` follows among the old boundaries.
-        old, made, memo = at, [], self.machine.memo
-        done = at - delta == old and at >= clean
-        pattern = FAST_SPLIT if FAST_ONLY.fullmatch(text, max(0, at - 1), min(len(text), clean + 4096)) and len(text) <= clean + 4096 else SPLIT
-        if not done:
-            for m in pattern.finditer(text, at):
-                made.append((m.end() - m.start(), len(memo[m[0]]) >> 2))
-                place = m.end() - delta
-                while old < place and leaf < len(self.leaves):
-                    if word == len(self.leaves[leaf]):
-                        leaf, word = leaf + 1, 0
-                        continue
-                    old += self.leaves[leaf][word][0]
-                    word += 1
-                if old == place and m.end() >= clean:
-                    break
-            else:
-                leaf, word = len(self.leaves), 0
+        head = held[0].kids[:word]
+        made, memo, behind, ahead = [], self.machine.memo, at, AHEAD
+        pattern = FAST_SPLIT if FAST_ONLY.fullmatch(window, at) else SPLIT
+        joined = False
+        while not joined:
+            m = pattern.match(window, at) if at < len(window) else None
+            if m is None and ended:
+                break
+            if m is None or (m.end() + CONTEXT > len(window) and not ended):
+                # What follows may decide where this word ends.
+                ahead *= 2
+                piece = take(ahead)
+                ended = len(piece) < ahead
+                window += piece
+                pattern = FAST_SPLIT if FAST_ONLY.fullmatch(window, at) else SPLIT
+                continue
+            at = m.end()
+            made.append((at - m.start(), len(memo[m[0]]) >> 2))
+            while behind < at - delta and leaf < len(held):
+                if word == len(held[leaf].kids):
+                    leaf, word = leaf + 1, 0
+                    continue
+                behind += held[leaf].kids[word][0]
+                word += 1
+            joined = behind == at - delta and at >= clean
         self.encoded += len(made)
-        tail = self.leaves[leaf][word:] if leaf < len(self.leaves) else []
-        last = min(leaf, len(self.leaves) - 1)
-        joined = head + made + tail
-        if first == last and len(joined) <= MOST:
-            self.leaves[first] = joined
-            self._repair(first)
+        if joined and leaf < len(held):
+            tail, through = held[leaf].kids[word:], leaf + 1
+            text = window[: sum([x.chars for x in held[:through]]) + delta]
+        else:
+            tail, through, text = [], len(held), window
+        fresh = leaves_of(head + made + tail, text)
+        if self.root.text is not None:
+            self.root = tree_of(fresh)
             return
-        self.leaves[first : last + 1] = [joined[i : i + LEAF] for i in range(0, len(joined), LEAF)]
-        self._build()
+        self.root.replace(first, first + through, fresh)
+        if len(self.root.kids) > 2 * FAN:
+            self.root = tree_of(parted(self.root.kids))
+        while self.root.text is None and len(self.root.kids) <= 1:
+            self.root = self.root.kids[0] if self.root.kids else Node([], "")
 
 
 EDIT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())]))

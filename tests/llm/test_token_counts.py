@@ -26,7 +26,7 @@ def test_edits_count_as_if_encoded_anew(machine):
             assert tree.text == text
             assert tree.count == sum(len(machine.memo[w]) // 4 for w in bpe.split(text))
             assert tree.words == len(bpe.split(text))
-            assert tree.chars[1] == len(text)
+            assert tree.root.chars == len(text)
 
 
 def test_an_edit_encodes_few_words(machine):
@@ -36,6 +36,28 @@ def test_an_edit_encodes_few_words(machine):
     assert tree.encoded < 10 and tree.words == len(bpe.split(tree.text))
 
 
+def test_many_edits_of_a_long_text(machine, monkeypatch):
+    """Leaves come and go under small nodes; the sums stay those of the text, and few words are encoded anew."""
+    monkeypatch.setattr(token_counts, "FAN", 3)
+    monkeypatch.setattr(token_counts, "AHEAD", 4)
+    rng = random.Random(9)
+    text = "".join(rng.choices([" word", " it's", "\n\n", "  x", "ab", " 12", "é"], k=6000))
+    tree = token_counts.TokenTree(text, machine)
+    for k in range(120):
+        s = rng.randint(0, len(text))
+        e = s + rng.choice([0, 3, 40, 900])
+        new = "".join(rng.choices(["'", " re", "\t\t", "zz", " 日本"], k=rng.choice([0, 1, 9, 400])))
+        tree.edit(s, e, new)
+        text = text[:s] + new + text[e:]
+        assert tree.root.chars == len(text) and (k % 10 or tree.text == text)
+        want = bpe.split(text)
+        assert tree.words == len(want) and tree.count == sum(len(machine.memo[w]) // 4 for w in want)
+    tree.edit(0, len(text), "")
+    assert (tree.count, tree.words, tree.text) == (0, 0, "")
+    tree.edit(0, 0, "a b")
+    assert (tree.words, tree.text) == (2, "a b")
+
+
 def test_cases(spark):
     rows = [(1, None, None), (2, "", []), (3, "a b", [{"start": 1, "end": 9, "text": "cc"}]), (3, "a b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start long, end long, text string>>")
