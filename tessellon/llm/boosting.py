@@ -70,10 +70,14 @@ class BoostedTrees:
 
 
 def threshold_for(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest score from which the kept rows have the precision asked for; 1.01 where none has."""
+    """The score from which the kept rows have the precision asked for, half way to the first row that is not kept; 1.01
+    where none has."""
     order = np.argsort(-p, kind="stable")
     ok = np.cumsum(y[order]) / np.arange(1, len(y) + 1) >= precision
     last = np.ones(len(ok), bool)
     last[:-1] = p[order][:-1] != p[order][1:]
     at = np.flatnonzero(ok & last)
-    return float(p[order][at[-1]]) if len(at) else 1.01
+    if not len(at):
+        return 1.01
+    last = int(at[-1])
+    return float(p[order][last : last + 2].mean())
