@@ -211,9 +211,15 @@ def flow_accumulation(directions: DataFrame, weight: str | None = None, cut: Cal
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     state = directions.select("pos", F.when(F.col("dir") != F.col("pos"), F.col("dir")).alias("nxt"), w.alias("acc"))
+    before = None
     for _ in range(max_rounds):
         state = cut(state) if cut else state.persist()
-        if state.filter("nxt is not null").isEmpty():
+        # Counting holds every part of the new state, so that the one before it may go.
+        under_way = state.filter("nxt is not null").count()
+        if before is not None:
+            before.unpersist()
+        before = None if cut else state
+        if not under_way:
             return state.select("pos", F.col("acc").alias("accumulation"))
         # acc(x) = own sums over shorter paths + those of the cells whose 2^k-th successor is x.
         inflow = state.filter("nxt is not null").groupBy("nxt").agg(F.sum("acc").alias("more"))
