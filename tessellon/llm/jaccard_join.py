@@ -3,14 +3,16 @@
 Documents whose shingle sets are equal form a class; only classes are joined. A class is named by a 64-bit sum of its
 hashes; a second sum shows when two sets share a name, and all is then named anew with another seed.
 
-* Every set is put in one global order of shingles, frequent ones last (frequencies from a table of hashed counters of
-  fixed size over all documents). Two sets that reach the threshold share a shingle among the first
-  n - ceil(t n) + 1 of each, and their sizes lie in the same or in neighbouring bands of ratio t. A tile is a shingle
-  and a band: the classes with that shingle up front whose size lies in the band, and as visitors those of the next.
+* Every set is put in one global order of shingles, frequent ones last (by name: shingles that repeat among neighbouring
+  documents are counted and the counts added up; the order costs time, never a link). Two sets that reach the threshold
+  share a shingle among the first n - ceil(t n) + 1 of each, and their sizes lie in the same or in neighbouring bands
+  of ratio t. A tile is a shingle and a band: the classes with that shingle up front whose size lies in the band, and as
+  visitors those of the next.
 * A tile gives its pairs, as far as sizes and places in the order leave room, when they are few for every member. Larger
   tiles that share members are laid together and cut into blocks of bounded size, within which all is settled; then,
-  only where there are several blocks, members outside the main component meet the other blocks. A shingle so
-  frequent that its tile would not fit a task skips the tiles' task and goes to the blocks directly.
+  only where there are several blocks, members outside the main component meet the other blocks: first by bitmaps
+  alone, then with their arrays those that may have a partner there. A shingle so frequent that its tile would not fit
+  a task (hashed counters of fixed size tell) skips the tiles' task and goes to the blocks directly.
 * Bitmaps bound the overlap of a pair from above (bits of one signature that the other lacks); what they let pass is
   decided by intersecting the sorted hash arrays, which are computed once for the classes that need them. A block gives
   at most one link for each component that it joins, not its pairs.
@@ -37,8 +39,10 @@ from tessellon.llm.textbytes import NONSPACE, chunks, column_bytes, distinct, mi
 
 #: Counters of the frequency table, least and most bits of a signature, members of a tile that gives its pairs itself.
 COUNTERS, LEAST_BITS, MOST_BITS, SMALL_TILE = 1 << 18, 2048, 1 << 16, 12
-#: Members of a block, and hashes of a block.
-BLOCK, BLOCK_HASHES = 2048, 2 << 20
+#: Shingles that a task counts at a time, counts of repeated ones sent of them, and entries of the table of frequent ones.
+COUNTED, COUNTS_SENT, FREQUENT = 2 << 20, 1 << 15, 1 << 20
+#: Members of a block, and hashes of a block; blocks without arrays hold so many times as much.
+BLOCK, BLOCK_HASHES, LIGHT = 2048, 2 << 20, 4
 #: Bytes of text whose prefixes one bucket of postings should hold, and postings that a task gathers before it sends.
 BUCKET_BYTES, HELD = 48 << 20, 3 << 20
 #: A shingle whose counter is above both this and 8 times the mean skips the tiles' task.
@@ -102,21 +106,87 @@ def band(n: np.ndarray, percent: int) -> np.ndarray:
     return np.searchsorted(edges, n, "right") - 1
 
 
+def repeated(values: list[np.ndarray]) -> bytes:
+    """The shingles that occur several times, the most frequent ones if they are many, and behind them their counts."""
+    value, count = np.unique(np.concatenate(values), return_counts=True)
+    at = np.flatnonzero(count > 1)
+    if len(at) > COUNTS_SENT:
+        at = at[np.argpartition(count[at], -COUNTS_SENT)[-COUNTS_SENT:]]
+    return value[at].tobytes() + count[at].astype("<u4").tobytes()
+
+
+def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, level) of the most frequent shingles, sorted; a level is half a power of two."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b["data"]:
+                raw = data.as_buffer()
+                k = len(raw) // 12
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64, k)), pa.array(np.frombuffer(raw, "<u4", k, 8 * k).astype(np.int64))], names=["key", "k"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=["keys", "levels"])
+
+    counts = described.filter("kind = 2").select("data").mapInArrow(unpack, "key long, k long").groupBy("key").agg(F.sum("k").alias("k"))
+    counts = cut(counts.filter("k > 3").select("key", F.floor(2 * F.log2("k")).cast("byte").alias("level")))
+    least, room = 127, FREQUENT
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    rows = counts.filter(F.col("level") >= least).mapInArrow(pack, "keys binary, levels binary").collect()
+    drop(counts)
+    key, level = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in (("keys", np.uint64), ("levels", np.int8)))
+    order = np.argsort(key)
+    return key[order], level[order]
+
+
+def levels_of(value: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles' levels, 0 for those that are not in the table."""
+    key, level = frequent
+    if not len(key):
+        return np.zeros(len(value), np.int8)
+    at = np.minimum(np.searchsorted(key, value), len(key) - 1)
+    return np.where(key[at] == value, level[at], 0)
+
+
 def _describe(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """kind 0: a row (id, class, second name, n, bytes, signature) for every row; kind 1: shingle counters by slice."""
+    """kind 0: a row (id, class, second name, n, bytes, signature) for every row; kind 1: shingle counters by slice;
+    kind 2: counts of shingles that repeat among some MB of documents, copies of a set left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.uint32)
         names = ["kind", "id", "cls", "other", "n", "bytes", "data"]
+        held, have, seen = [], 0, np.zeros(0, np.int64)
+
+        def counted() -> pa.RecordBatch:
+            zero = pa.array([0], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([None], pa.int64()), zero, zero, zero, zero, pa.array([repeated(held)], pa.binary())], names=names)
+
         for b in batches:
             buf, off = column_bytes(b.column(1))
             for lo, hi, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
                 counters += np.bincount((value >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32)
                 k = hi - lo
-                one, two = (pa.array(class_ids(value, size, s ^ seed)) for s in _SEEDS)
+                one, two = (class_ids(value, size, s ^ seed) for s in _SEEDS)
                 data = pa.array(signatures(value, size), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0).slice(lo, k), one, two, pa.array(size, pa.int64()), pa.array(np.diff(co), pa.int64()), data], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0).slice(lo, k), pa.array(one), pa.array(two), pa.array(size, pa.int64()), pa.array(np.diff(co), pa.int64()), data], names=names)
+                _, first = np.unique(one, return_index=True)
+                first = first[~np.isin(one[first], seen)]
+                fresh = np.zeros(k, bool)
+                fresh[first] = True
+                held.append(value[fresh[row]])
+                have, seen = have + len(held[-1]), np.concatenate([seen, one[first]])
+                if have > COUNTED:
+                    yield counted()
+                    held, have, seen = [], 0, np.zeros(0, np.int64)
+        if have:
+            yield counted()
         if counters.any():
             parts = counters.reshape(_SLICES, -1)
             zero = pa.array([0] * _SLICES, pa.int64())
@@ -159,14 +229,14 @@ def _postings(docs: DataFrame, width: int, percent: int, seed: int, shared, buck
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "members", "classes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, often = shared.value
+        frequent, often = shared.value
         held, count = [], 0
         for b in batches:
             buf, off = column_bytes(b.column(0))
             for _, _, cb, co in chunks(buf, off):
                 row, value, size = shingle_sets(cb, co, width)
                 slot = (value >> np.uint64(40)).astype(np.int64) % COUNTERS
-                order = np.lexsort((value, levels[slot], row))
+                order = np.lexsort((value, levels_of(value, frequent), row))
                 value, row, slot = value[order], row[order], slot[order]
                 place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 keep = place < prefix_length(size, percent)[row]
@@ -316,6 +386,22 @@ def _exact(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def partners(n: np.ndarray, bits: np.ndarray, root: np.ndarray, lead: np.ndarray, home: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every lead with the members (ordered by size n) that it may link to by size and bitmap, while their roots differ."""
+    for r in np.flatnonzero(lead).tolist():
+        lo, hi = np.searchsorted(n, [-(-n[r] * percent // 100), n[r] * 100 // percent + 1])
+        ok = root[lo:hi] != root[r]
+        if not home[r]:
+            ok &= home[lo:hi]
+        # Two leads meet once.
+        ok[: max(0, r - lo)] &= ~lead[lo:r]
+        at = lo + np.flatnonzero(ok)
+        if len(at):
+            at = at[bitmap_room(np.full(len(at), n[r]), n[at], np.broadcast_to(bits[r], (len(at), bits.shape[1])), bits[at], percent) >= 0]
+        if len(at):
+            yield r, at
+
+
 def settle(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, hashes: list[np.ndarray], comp: np.ndarray, lead: np.ndarray, home: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the components of a block's members: every lead meets all others (not visitor and visitor).
 
@@ -329,19 +415,7 @@ def settle(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, hashes: list[np.nda
     mark = np.zeros(int(code.max()) + 1, np.int32)
     _, root = np.unique(comp, return_inverse=True)
     a, b = [], []
-    for r in np.flatnonzero(lead).tolist():
-        lo, hi = np.searchsorted(n, [-(-n[r] * percent // 100), n[r] * 100 // percent + 1])
-        ok = root[lo:hi] != root[r]
-        if not home[r]:
-            ok &= home[lo:hi]
-        # Two leads meet once.
-        ok[: max(0, r - lo)] &= ~lead[lo:r]
-        at = lo + np.flatnonzero(ok)
-        if not len(at):
-            continue
-        at = at[bitmap_room(np.full(len(at), n[r]), n[at], np.broadcast_to(bits[r], (len(at), bits.shape[1])), bits[at], percent) >= 0]
-        if not len(at):
-            continue
+    for r, at in partners(n, bits, root, lead, home, percent):
         own = code[begin[r] : begin[r] + n[r]]
         mark[own] = 1
         overlap = np.empty(len(at), np.int64)
@@ -405,19 +479,45 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
     return alone.select(*columns).union(pivot.select(*columns)).groupBy("crowd", "band", "i").applyInPandas(lambda group: _settled(group, percent), "a long, b long")
 
 
-def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks: members outside a crowd's main component meet, block by block, all of other components."""
-    named = members.filter("blocks > 1").join(labels, F.col("cls") == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls"))
-    count = named.groupBy("crowd", "band", "comp").agg(F.count("*").alias("k"))
-    main = count.groupBy("crowd", "band").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("g")).filter(F.col("m.k") < F.col("g"))
-    main = main.select("crowd", "band", F.col("m.comp").alias("main"), ((F.col("g") - F.col("m.k")) / F.col("g")).alias("share"))
+def _may_link(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(crowd, band, cls) of the members that may link to one of another component, by size and bitmap."""
+    group = group.sort_values("lead", ascending=False, kind="stable").drop_duplicates("cls").sort_values("n", kind="stable")
+    hit = np.zeros(len(group), bool)
+    bits = folded(group["data"].tolist(), min(map(len, group["data"])))
+    _, root = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    for r, at in partners(group["n"].to_numpy(), bits, root, *(group[c].to_numpy() for c in ("lead", "home")), percent):
+        hit[r] = True
+        hit[at] = True
+    return group.loc[hit, ["crowd", "band", "cls"]]
+
+
+def _dealt(named: DataFrame, member: tuple[str, ...], times: int):
+    """Cells (crowd, band, i, j) in which members outside a crowd's main component meet, block by block, all others."""
+    count = named.groupBy("crowd", "band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    main = count.groupBy("crowd", "band").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("g"), F.sum("w").alias("w")).filter(F.col("m.k") < F.col("g"))
+    blocks = F.greatest(F.ceil(F.col("g") / (BLOCK * times)), F.ceil(F.col("w") / (BLOCK_HASHES * times))).cast("int")
+    main = main.select("crowd", "band", F.col("m.comp").alias("main"), ((F.col("g") - F.col("m.k")) / F.col("g")).alias("share"), blocks.alias("blocks"))
     dealt = named.join(main, ["crowd", "band"]).withColumn("outer", F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("share"))).cast("int"))
     home = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     away = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("outer")).cast("int")
     rest = dealt.withColumn("i", home).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).withColumn("lead", F.lit(False))
     lead = dealt.filter("comp <> main").withColumn("j", away).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lead", F.lit(True))
-    columns = ["crowd", "band", "i", "j", *_MEMBER]
-    return lead.select(*columns).union(rest.select(*columns)).groupBy("crowd", "band", "i", "j").applyInPandas(lambda group: _settled(group, percent), "a long, b long")
+    columns = ["crowd", "band", "i", "j", *member]
+    return lead.select(*columns).union(rest.select(*columns)).groupBy("crowd", "band", "i", "j")
+
+
+def _across(crowds: DataFrame, arrays: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks: members outside a crowd's main component meet all of other components.
+
+    They meet without their arrays at first; only members that may then have a partner bring them along.
+    """
+    named = crowds.filter("blocks > 1").drop("blocks").join(labels, F.col("cls") == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls"))
+    light = tuple(c for c in _MEMBER if c != "hashes")
+    hit = cut(_dealt(named, light, LIGHT).applyInPandas(lambda group: _may_link(group, percent), "crowd long, band int, cls long").distinct())
+    whole = named.join(hit, ["crowd", "band", "cls"], "left_semi").join(arrays, ["cls", "id"])
+    out = cut(_dealt(whole, _MEMBER, 1).applyInPandas(lambda group: _settled(group, percent), "a long, b long"))
+    drop(hit)
+    return out
 
 
 def _described(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
@@ -442,12 +542,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     counts = combine_slices(described.filter("kind = 1").select(F.col("cls").cast("int").alias("slice"), "data"), "uint32", "sum").astype(np.float64)
     if not len(counts):
         counts = np.zeros(COUNTERS)
+    # Only the order of magnitude counts, so that rare shingles stay in hash order.
+    frequent = _frequent(described)
     drop(described)
-    # Only the order of magnitude above the common noise counts, so that rare shingles stay in hash order.
-    levels = np.floor(np.log2(counts / max(1.0, counts.mean()) + 1)).astype(np.int8)
+    release(spark)
     often = (counts > HOT) & (counts > 8 * counts.mean())
     buckets = max(8, -(-int(table.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
-    shared = spark.sparkContext.broadcast((levels, often))
+    shared = spark.sparkContext.broadcast((frequent, often))
     found = cut(_postings(rows.filter("id is not null").select("text"), width, percent, seed, shared, buckets).groupBy("bucket").applyInPandas(_tile_bucket(percent, buckets), "kind int, a long, b long"))
     release(spark)
     pairs = cut(_by_signature(found.filter("kind = 0").select("a", "b").distinct(), classes, percent))
@@ -467,7 +568,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     release(spark)
     labels = components(links)
     if not crowds.filter("blocks > 1").isEmpty():
-        further = cut(_across(members, labels, percent))
+        further = _across(crowds, arrays, labels, percent)
         if not further.isEmpty():
             labels = components(links.union(further))
         drop(further)

@@ -121,6 +121,23 @@ def test_jaccard_join_in_many_blocks(spark, monkeypatch):
         assert sorted((tuple(r) for r in jaccard_join.near_duplicates(df, 4, 85).collect()), key=str) == want
 
 
+def test_jaccard_join_of_common_shingles(spark, monkeypatch):
+    """Texts that share only common shingles make few candidates, however many shingles share a counter, and bring no arrays."""
+    rng = random.Random(3)
+    phrases = [" ".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.3 else f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(400)]
+    rows += [(1000 + i, f"{t} more") for i, t in rows[:9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_groups(rows, 4, 85)
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 64)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "SMALL_TILE", 3)
+    counts, arrays = [], jaccard_join._arrays
+    monkeypatch.setattr(jaccard_join, "_arrays", lambda docs, needed, *a: counts.append(needed.distinct().count()) or arrays(docs, needed, *a))
+    assert sorted((tuple(r) for r in jaccard_join.near_duplicates(df, 4, 85).collect()), key=str) == want
+    assert counts[0] < 200
+
+
 def test_op8_on_tables(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in jaccard_join.op8_jaccard_join(spark, sf).collect()), key=str) == brute_groups(rows, 4, 85)
