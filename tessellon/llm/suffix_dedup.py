@@ -30,13 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.textbytes import BASE_INVERSE, chunks, column_bytes, merge_intervals, mix, powers, prefix_hash, stretch_hash
+from tessellon.llm.textbytes import BASE_INVERSE, chunks, column_bytes, merge_intervals, mix, powers, prefix_hash, stretch_hash, trim
 
 LENGTH, K = 50, 12
 #: Bytes of text whose fragments one bucket should hold, and bytes of text that one batch gathers before it sends.
 BUCKET_BYTES, BATCH_BYTES = 4 << 20, 16 << 20
 #: Bytes of fragments whose suffixes are hashed and sorted at a time; one least hash with more is handled alone.
 SLICE_BYTES = 1 << 18
+#: Bytes of packed fragments that a task hands to Spark at a time.
+HANDED_BYTES = 1 << 20
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -312,6 +314,7 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         ids, bases = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[3]) for h in held]))])
         buf = np.concatenate([h[2] for h in held])
+        held.clear()
         parts = []
         for lo, _, b, o in chunks(buf, off):
             prefix = prefix_hash(b)
@@ -321,7 +324,9 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
         if not parts:
             return
         begin, size, least, row, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         lead = leaders(value, buf, begin, size)
+        del value
         smallest = np.full(len(lead), np.iinfo(np.int64).max)
         np.minimum.at(smallest, lead, ids[row])
         local = ids[row] == smallest[lead]
@@ -345,8 +350,11 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
             # A fragment has less than twice the length.
             blob = _pack(size[kept].astype(np.min_scalar_type(2 * length)), gather(buf, begin[kept], size[kept]), np.diff(frag, prepend=0).astype(np.int32), np.diff(ids[row[own]], prepend=0), np.diff(start[own], prepend=0))
             out.append((q, batch, False, blob))
-        for lo in range(0, len(out), 4096):
-            c = list(zip(*out[lo : lo + 4096], strict=True))
+        lo, end = 0, np.cumsum([len(x[3]) for x in out])
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + HANDED_BYTES, "right")))
+            c = list(zip(*out[lo:hi], strict=True))
+            lo = hi
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.binary())], names=["bucket", "batch", "known", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +366,12 @@ def _send(docs: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
                 if size and size + len(b) > BATCH_BYTES:
                     yield from flush(held)
                     held, size = [], 0
+                    trim()
                 held.append((ids[lo:hi], bases[lo:hi], b.copy(), o))
                 size += len(b)
         if held:
             yield from flush(held)
+        trim()
 
     return docs.mapInArrow(run, "bucket int, batch long, known boolean, data binary")
 
@@ -390,6 +400,8 @@ def _bucket(length: int, k: int):
             for s, e in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=False):
                 some = order[s:e]
                 out.append((int(batch[some[0]]), _pack_spans(doc[some], start[some], end[some])))
+            del parts, of, columns
+            trim()
         return pd.DataFrame({"batch": np.array([x for x, _ in out], np.int64), "data": pd.Series([x for _, x in out], dtype=object)})
 
     return run
@@ -448,7 +460,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(5 if kept_text else 4)]
             for base, text, blobs in zip(b["base"].to_pylist(), b["packed"], b["blobs"], strict=True):
                 raw = zstandard.decompress(text.as_buffer()) if text.is_valid else b""
                 n, removed, count = len(raw), 0, 0
@@ -459,7 +471,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
                     removed, count = int((end - start).sum()), len(start)
                     ends = [0, *end.tolist()]
                     raw = b"".join(raw[e:s] for e, s in zip(ends, [*start.tolist(), n], strict=True))
-                for column, v in zip(out, (n, removed, count, hashlib.sha256(raw).hexdigest(), raw), strict=True):
+                for column, v in zip(out, (n, removed, count, hashlib.sha256(raw).hexdigest(), raw), strict=False):
                     column.append(v)
             arrays = [b["id"], *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())] + ([pa.array(out[4], pa.binary())] if kept_text else [])
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)])

@@ -8,6 +8,7 @@ Words are named by block_hash, which has no such build.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,6 +212,13 @@ def distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[new], value[new]
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker that waits for its next task would hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give(0)
+
+
 def merge_intervals(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of [start, end) as maximal intervals, ascending."""
     if not len(start):

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tessellon.llm import components, contamination, jaccard_join, pii, quality, suffix_dedup
 
@@ -48,6 +50,20 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_hands_on_small_batches():
+    """A task that has gathered some MB of text hands their fragments to Spark bit by bit, and whole."""
+
+    class Tasks:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(6)
+    text = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(1500)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([0] * 1500, pa.int64()), pa.array(text)], names=["id", "base", "text"])
+    out = list(suffix_dedup._send(Tasks(), 40, 50, 12)(iter([rows])))
+    assert sum(b.num_rows for b in out) == 40 and all(b.nbytes < 1.1 * suffix_dedup.HANDED_BYTES for b in out)
+
+
 def test_op7_on_tables(spark, sf):
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in suffix_dedup.op7_suffix_dedup(spark, sf).collect()), key=str) == brute_dedup(rows)
