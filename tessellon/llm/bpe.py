@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessellon.llm.textbytes import BASE, BASE_INVERSE, mix, powers, prefix_hash, stretch_hash
+from tessellon.llm.textbytes import BASE, BASE_INVERSE, mix, powers, prefix_hash, stretch_hash, trim
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -359,12 +359,15 @@ def append_tokens(docs: DataFrame, path: str | None = None, text_col: str = "tex
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         machine = automaton(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 ids = machine.encode_batch(b.column(at).fill_null("").to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                del b, ids
+                trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellon.llm.textbytes import ALNUM, chunks, column_bytes, heads, same_stretches, words
+from tessellon.llm.textbytes import ALNUM, chunks, column_bytes, heads, same_stretches, trim, words
 
 WIDTH, SAMPLE = 8, 8
 SHARD_BYTES = 2 << 20
@@ -305,6 +305,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
                     columns[at] = pa.array([cut(t.as_py(), s) if s else t.as_py() for t, s in zip(columns[at], spans, strict=True)], columns[at].type)
                     part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                 yield part
+        trim()
 
     out = docs.mapInArrow(run, docs.schema)
     if chars_col in docs.columns:

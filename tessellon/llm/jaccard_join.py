@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellon.llm.components import combine_slices, components, cut, drop, id_filter, maybe_in, release
-from tessellon.llm.textbytes import NONSPACE, chunks, column_bytes, distinct, mix, shingles, words
+from tessellon.llm.textbytes import NONSPACE, chunks, column_bytes, distinct, mix, shingles, trim, words
 
 #: Counters of the frequency table, least and most bits of a signature, members of a tile that gives its pairs itself.
 COUNTERS, LEAST_BITS, MOST_BITS, SMALL_TILE = 1 << 18, 2048, 1 << 16, 12
@@ -108,11 +108,16 @@ def band(n: np.ndarray, percent: int) -> np.ndarray:
 
 def repeated(values: list[np.ndarray]) -> bytes:
     """The shingles that occur several times, the most frequent ones if they are many, and behind them their counts."""
-    value, count = np.unique(np.concatenate(values), return_counts=True)
-    at = np.flatnonzero(count > 1)
-    if len(at) > COUNTS_SENT:
-        at = at[np.argpartition(count[at], -COUNTS_SENT)[-COUNTS_SENT:]]
-    return value[at].tobytes() + count[at].astype("<u4").tobytes()
+    value = np.concatenate(values)
+    values.clear()
+    value.sort()
+    same = np.concatenate([[False], value[1:] == value[:-1], [False]])
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    count = last - first + 1
+    if len(first) > COUNTS_SENT:
+        at = np.argpartition(count, -COUNTS_SENT)[-COUNTS_SENT:]
+        first, count = first[at], count[at]
+    return value[first].tobytes() + count.astype("<u4").tobytes()
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +190,11 @@ def _describe(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 if have > COUNTED:
                     yield counted()
                     held, have, seen = [], 0, np.zeros(0, np.int64)
+                    trim()
         if have:
             yield counted()
+        held.clear()
+        trim()
         if counters.any():
             parts = counters.reshape(_SLICES, -1)
             zero = pa.array([0] * _SLICES, pa.int64())
@@ -247,6 +255,8 @@ def _postings(docs: DataFrame, width: int, percent: int, seed: int, shared, buck
                     held, count = [], 0
         if count:
             yield from pack(held)
+        held.clear()
+        trim()
 
     return docs.mapInArrow(run, "bucket int, keys binary, members binary, classes binary, sizes binary")
 

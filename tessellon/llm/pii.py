@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessellon.llm.boosting import BoostedTrees, threshold_for
-from tessellon.llm.textbytes import merge_intervals
+from tessellon.llm.textbytes import merge_intervals, trim
 
 #: The base kinds in listing order, then the kinds that the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -281,6 +281,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str | N
             columns = list(b.columns)
             columns[at] = pa.array([t if t is None or not base and not added else redact(t, base + added) for t, (base, added) in zip(texts, found, strict=True)], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+        trim()
 
     out = docs.mapInArrow(run, docs.schema)
     if chars_col in docs.columns:

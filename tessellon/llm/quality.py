@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellon.llm.textbytes import ALNUM, LINE, chunks, column_bytes, distinct, words
+from tessellon.llm.textbytes import ALNUM, LINE, chunks, column_bytes, distinct, trim, words
 
 DIMS, BINS, RANK = 1 << 14, 12, 6
 
@@ -220,10 +220,11 @@ def filter_documents(docs: DataFrame, machine: FactorisationMachine, threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 2000) for whole in batches for lo in range(0, whole.num_rows, 2000)):
             score = [shared.value.score(stats, found) for _, _, stats, found in featurise(b.column(at))]
             if score:
                 yield b.filter(pa.array(np.concatenate(score) >= threshold))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
