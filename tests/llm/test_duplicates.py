@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
@@ -154,6 +155,14 @@ def test_jaccard_join_of_common_shingles(spark, monkeypatch):
     assert counts[0] < 200
 
 
+def test_counts_of_repeated_shingles(monkeypatch):
+    """Only what repeats is sent, with its count, and the most frequent if there is too much."""
+    want = np.array([3, 9], np.uint64).tobytes() + np.array([2, 3], "<u4").tobytes()
+    assert jaccard_join.repeated([np.array(x, np.uint64) for x in ([9, 3, 5], [9, 3, 9, 7])]) == want
+    monkeypatch.setattr(jaccard_join, "COUNTS_SENT", 1)
+    assert jaccard_join.repeated([np.array([9, 3, 5, 9, 3, 9], np.uint64)]) == np.array([9], np.uint64).tobytes() + np.array([3], "<u4").tobytes()
+
+
 def test_op8_on_tables(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in jaccard_join.op8_jaccard_join(spark, sf).collect()), key=str) == brute_groups(rows, 4, 85)
