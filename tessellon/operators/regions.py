@@ -5,7 +5,8 @@ position, left_semi and left_anti, explodes of neighbour arrays and of ranges. N
 counter-clockwise order of the ring.
 
 At scale: no verb gathers rows in one task. Windows are partitioned by blocks of positions, with offsets of the blocks
-added afterwards; a range join is turned into an equi-join on the block that holds both ends.
+added afterwards; a range join is turned into an equi-join of distinct positions on the block that holds both ends, and
+one of the rows on the positions found.
 """
 
 from __future__ import annotations
@@ -247,17 +248,22 @@ def intersect_ranges(a: DataFrame, b: DataFrame, bits: int = BLOCK_BITS) -> Data
     return x.join(y, "block").filter("lo <= hi2 and lo2 <= hi").select(F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi"))
 
 
-def in_ranges(data: DataFrame, ranges: DataFrame, pos: str = "pos", how: str = "left_semi", bits: int = BLOCK_BITS) -> DataFrame:
-    """Rows of data whose position lies in a range: an equi-join on blocks, never a nested loop.
+def in_ranges(data: DataFrame, ranges: DataFrame, pos: str = "pos", how: str = "left_semi", bits: int = BLOCK_BITS, unique: bool = False) -> DataFrame:
+    """Rows of data whose position lies in a range: equi-joins, never a nested loop.
 
     how: left_semi, left_anti, or inner (then the ranges' other columns come along, a row for each range that holds it).
+    A block may hold all rows, but no more than 2^bits positions: only distinct positions meet the ranges by block, and the
+    rows meet these by position. unique: data has each position once, so that its rows can meet the ranges themselves.
     """
     extra = [c for c in ranges.columns if c not in ("lo", "hi")]
     cutted = ranges.withColumn("_b", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits)))).select("_b", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *extra)
-    left = data.withColumn("_k", F.shiftright(pos, bits))
-    on = (F.col("_k") == F.col("_b")) & F.col(pos).between(F.col("_lo"), F.col("_hi"))
-    out = left.join(cutted, on, how).drop("_k")
-    return out.drop("_b", "_lo", "_hi")
+    left = data if unique else data.select(F.col(pos).alias("_p")).distinct()
+    at = F.col(pos if unique else "_p")
+    on = (F.shiftright(at, bits) == F.col("_b")) & at.between(F.col("_lo"), F.col("_hi"))
+    if unique:
+        return left.join(cutted, on, how).drop("_b", "_lo", "_hi")
+    held = left.join(cutted, on, "inner" if how == "inner" else "left_semi").drop("_b", "_lo", "_hi")
+    return data.join(held, F.col(pos) == F.col("_p"), how).drop("_p")
 
 
 # --- topology ---------------------------------------------------------------------------------------------------

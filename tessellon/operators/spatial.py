@@ -436,11 +436,12 @@ def cellindices(spark: SparkSession, c: Coverage, level: int) -> DataFrame:
     return regions.dense(level_ranges(spark, c, level))
 
 
-def covering(data: DataFrame, sys: str | GridSystem, level: int, target, pos: str = "pos") -> DataFrame:
-    """Rows of data whose cell covers part of the target: the coverage's ranges joined block by block."""
+def covering(data: DataFrame, sys: str | GridSystem, level: int, target, pos: str = "pos", unique: bool = False) -> DataFrame:
+    """Rows of data whose cell covers part of the target: the coverage's ranges joined block by block. unique: data has each
+    cell once."""
     c = coverage(sys, target, level=level)
     if c.system.has_sorted_subtrees:
-        return regions.in_ranges(data, level_ranges(data.sparkSession, c, level), pos)
+        return regions.in_ranges(data, level_ranges(data.sparkSession, c, level), pos, unique=unique)
     hits = c.df(data.sparkSession)
     out = None
     for at in sorted(set(c.cells["level"])):
@@ -451,16 +452,20 @@ def covering(data: DataFrame, sys: str | GridSystem, level: int, target, pos: st
 
 
 def zonal(data: DataFrame, sys: str | GridSystem, level: int, zones: dict[str, object], value: str = "value", pos: str = "pos") -> DataFrame:
-    """(zone, n, mean): the area-weighted mean of a field over each zone's covering cells."""
+    """(zone, n, mean): the area-weighted mean of a field over each zone's covering cells.
+
+    Values are counted and summed up by cell before cells meet zones.
+    """
     s, parts = system(sys), []
+    rows = data.select(F.col(pos).alias("pos"), F.col(value).cast("double").alias("v"))
+    cells = rows.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("pos").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
     for name, target in zones.items():
-        rows = covering(data.select(F.col(pos).alias("pos"), F.col(value).alias("v")), s, level, target)
         area = s.area_col(F.col("pos"), level)
-        parts.append(rows.filter(F.col("v").isNotNull() & ~F.isnan("v")).select(F.lit(name).alias("zone"), "v", area.alias("a")))
+        parts.append(covering(cells, s, level, target, unique=True).select(F.lit(name).alias("zone"), "n", "v", area.alias("a")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("zone").agg(F.count("*").alias("n"), (F.sum(F.col("v") * F.col("a")) / F.sum("a")).alias("mean"))
+    return every.groupBy("zone").agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("a")) / F.sum(F.col("n") * F.col("a"))).alias("mean"))
 
 
 def member_neighbors(c: Coverage, level: int, pos: int, connectivity: str = "vertex") -> pd.DataFrame:
