@@ -173,7 +173,7 @@ SELECT key, (face * {n * n} + code + 1)::BIGINT AS pos FROM walk WHERE b = 0
 def s2_cellat(spark, sf_dir):
     r = F.sqrt(1 - F.col("z") * F.col("z"))
     p = customers(spark, sf_dir).select("key", (r * F.cos(F.radians("lon"))).alias("x"), (r * F.sin(F.radians("lon"))).alias("y"), "z")
-    return p.select("key", system("S2").cellat_xyz_col(F.col("x"), F.col("y"), F.col("z"), _S2_LEVEL).alias("pos"))
+    return system("S2").with_cell_xyz(p, "x", "y", "z", _S2_LEVEL).select("key", "pos")
 
 
 @query("great_circle", f"SELECT a.key, round(2 * asin(least(1, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) / 2)), 9) AS radians FROM (SELECT key, sqrt(1 - z * z) * cos(radians(lon)) AS x, sqrt(1 - z * z) * sin(radians(lon)) AS y, z FROM ({CUSTOMERS})) a, (SELECT 0.6::DOUBLE AS x, 0.0::DOUBLE AS y, 0.8::DOUBLE AS z) b")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.functions import staged
 from tessellon.systems.base import register_system
 from tessellon.systems.quadface import QuadFaceSystem
 
@@ -18,6 +19,18 @@ V_AXIS = np.array([[0, 0, 1], [0, 0, 1], [0, -1, 0], [0, -1, 0], [1, 0, 0], [1,
 PLACE = np.array([[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]])
 TURN = np.array([1, 0, 0, 3])
 QUADRANT = np.argsort(PLACE, 1)
+#: Bits of each coordinate that the curve goes through in one step of an expression.
+STEP_BITS = 3
+
+
+def _steps(bits: int) -> list[int]:
+    """By orientation, then by that many bits of ix and of iy: the places on the curve times 4, plus the orientation after them."""
+    turn, ix, iy = (a.ravel() for a in np.meshgrid(range(4), range(1 << bits), range(1 << bits), indexing="ij"))
+    code = np.zeros_like(turn)
+    for b in range(bits - 1, -1, -1):
+        place = PLACE[turn, 2 * ((ix >> b) & 1) + ((iy >> b) & 1)]
+        code, turn = (code << 2) | place, turn ^ TURN[place]
+    return ((code << 2) | turn).tolist()
 
 
 class S2(QuadFaceSystem):
@@ -75,41 +88,75 @@ class S2(QuadFaceSystem):
         ix, iy = (np.clip(np.floor(self.uv_to_st((p * ax[face]).sum(-1) / w) * n).astype(np.int64), 0, n - 1) for ax in (U_AXIS, V_AXIS))
         return self.encode(ix, iy, face, level) + 1
 
-    # --- Columns in closed form: the curve is a fold over the bits ----------------------------------------------
+    # --- Columns in stages: the curve goes through tables of a few bits ------------------------------------------
 
-    def encode_col(self, ix: Column, iy: Column, face: Column, level: int) -> Column:
-        place = F.lit([int(v) for v in PLACE.ravel()])
-        turn = F.lit([int(v) for v in TURN])
-        if level == 0:
-            return face
-        start = F.struct(F.lit(0).cast("long").alias("code"), face.bitwiseAND(F.lit(1)).cast("int").alias("turn"))
+    @staticmethod
+    def _curve_stages(level: int) -> list[staged.Stage]:
+        """hit0, hit1, ... of ix, iy and face: entries of _steps, from the highest bits on."""
+        out, low = [], level
+        while low:
+            n = low % STEP_BITS or STEP_BITS
+            low -= n
+
+            def step(v, k=len(out), n=n, low=low):
+                turn = v[f"hit{k - 1}"].bitwiseAND(F.lit(3)) if k else v["face"].bitwiseAND(F.lit(1))
+                ix, iy = (F.shiftright(v[c], low).bitwiseAND(F.lit((1 << n) - 1)) for c in ("ix", "iy"))
+                at = F.shiftleft(turn, 2 * n) + F.shiftleft(ix, n) + iy + 1
+                return {f"hit{k}": F.element_at(F.lit(_steps(n)), at.cast("int")).cast("long")}
+
+            out.append(step)
+        return out
 
-        def step(acc, b):
-            q = 2 * F.call_function("shiftright", ix, b).bitwiseAND(F.lit(1)) + F.call_function("shiftright", iy, b).bitwiseAND(F.lit(1))
-            p = F.element_at(place, (acc["turn"] * 4 + q + 1).cast("int"))
-            return F.struct(F.shiftleft(acc["code"], 2).bitwiseOR(p.cast("long")).alias("code"), acc["turn"].bitwiseXOR(F.element_at(turn, p + 1)).alias("turn"))
+    @staticmethod
+    def _position(level: int):
+        def at(v):
+            out, left = F.shiftleft(v["face"], 2 * level), level
+            for k in range(-(-level // STEP_BITS)):
+                left -= left % STEP_BITS or STEP_BITS
+                out = out + F.shiftleft(F.shiftright(v[f"hit{k}"], 2), 2 * left)
+            return out + 1
 
-        code = F.aggregate(F.sequence(F.lit(level - 1), F.lit(0), F.lit(-1)), start, step)["code"]
-        return F.shiftleft(face, 2 * level).bitwiseOR(code)
+        return at
 
-    def cellat_xyz_col(self, x: Column, y: Column, z: Column, level: int) -> Column:
-        ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-        axis = F.when((ax >= ay) & (ax >= az), 0).when(ay >= az, 1).otherwise(2)
-        major = F.when(axis == 0, x).when(axis == 1, y).otherwise(z)
-        face = F.when(major >= 0, axis).otherwise(axis + 3).cast("long")
+    @staticmethod
+    def _locate_stages(level: int) -> list[staged.Stage]:
+        n = 1 << level
+
+        def axis(v):
+            x, y, z = (F.abs(v[c]) for c in "xyz")
+            return {"axis": F.when((x >= y) & (x >= z), 0).when(y >= z, 1).otherwise(2)}
 
-        def along(axes):
+        def major(v):
+            return {"major": F.when(v["axis"] == 0, v["x"]).when(v["axis"] == 1, v["y"]).otherwise(v["z"])}
+
+        def face(v):
+            return {"face": F.when(v["major"] >= 0, v["axis"]).otherwise(v["axis"] + 3).cast("long")}
+
+        def along(v, axes):
             out = F.lit(0.0)
             for f in range(6):
                 c = int(np.flatnonzero(axes[f])[0])
-                out = F.when(face == f, (x, y, z)[c] * float(axes[f][c])).otherwise(out)
-            return out / F.abs(major)
+                out = F.when(v["face"] == f, v["xyz"[c]] * float(axes[f][c])).otherwise(out)
+            return out / F.abs(v["major"])
+
+        def plane(v):
+            return {"u": along(v, U_AXIS), "v": along(v, V_AXIS)}
 
         def lattice(u):
             st = F.when(u >= 0, 0.5 * F.sqrt(1 + 3 * u)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * u))
-            return F.least(F.greatest(F.floor(st * (1 << level)), F.lit(0).cast("long")), F.lit((1 << level) - 1).cast("long"))
+            return F.least(F.greatest(F.floor(st * n), F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
+
+        return [axis, major, face, plane, lambda v: {"ix": lattice(v["u"]), "iy": lattice(v["v"])}, *S2._curve_stages(level)]
+
+    def encode_col(self, ix: Column, iy: Column, face: Column, level: int) -> Column:
+        return staged.column({"ix": ix, "iy": iy, "face": face}, self._curve_stages(level), self._position(level)) - 1
+
+    def cellat_xyz_col(self, x: Column, y: Column, z: Column, level: int) -> Column:
+        return staged.column({"x": x, "y": y, "z": z}, self._locate_stages(level), self._position(level))
 
-        return self.encode_col(lattice(along(U_AXIS)), lattice(along(V_AXIS)), face, level) + 1
+    def with_cell_xyz(self, df: DataFrame, x: str, y: str, z: str, level: int, out: str = "pos") -> DataFrame:
+        """df with the position column; stays in generated code."""
+        return staged.frame(df, {"x": F.col(x), "y": F.col(y), "z": F.col(z)}, self._locate_stages(level), {out: self._position(level)})
 
     def cellat_col(self, lon: Column, lat: Column, level: int) -> Column:
         a, b = F.radians(lon), F.radians(lat)
